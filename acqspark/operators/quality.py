@@ -228,25 +228,31 @@ def _long(model: str, test: str, agg_row: DataFrame, cols: list[str]) -> DataFra
                           F.expr(f"stack({len(cols)}, {pairs}) as (column_name, failures)"))
 
 
-def test_not_null(models: dict[str, DataFrame]) -> DataFrame:
-    """NULL count per tested column; all columns of a model in one pass."""
+def _per_model_counts(models: dict[str, DataFrame], test: str) -> DataFrame:
+    """not_null / accepted_values: every tested column of a model is counted
+    in ONE aggregate pass over that model, then unpivoted to long rows."""
+    by_model: dict[str, list] = {}
+    if test == "not_null":
+        for model, cols in NOT_NULL.items():
+            by_model.setdefault(model, []).extend((c, _isnull(c)) for c in cols)
+    else:
+        for model, col, values in ACCEPTED:
+            by_model.setdefault(model, []).append((col, _not_in(col, values)))
     parts = []
-    for model, cols in NOT_NULL.items():
-        row = models[model].agg(*[_isnull(c).alias(c) for c in cols])
-        parts.append(_long(model, "not_null", row, cols))
+    for model, tests in by_model.items():
+        row = models[model].agg(*[agg.alias(c) for c, agg in tests])
+        parts.append(_long(model, test, row, [c for c, _ in tests]))
     return reduce(DataFrame.unionByName, parts)
 
 
+def test_not_null(models: dict[str, DataFrame]) -> DataFrame:
+    """NULL count per tested column."""
+    return _per_model_counts(models, "not_null")
+
+
 def test_accepted_values(models: dict[str, DataFrame]) -> DataFrame:
     """Rows whose value is outside the list (NULL passes, like SQL NOT IN)."""
-    by_model: dict[str, list] = {}
-    for model, col, values in ACCEPTED:
-        by_model.setdefault(model, []).append((col, values))
-    parts = []
-    for model, tests in by_model.items():
-        row = models[model].agg(*[_not_in(c, v).alias(c) for c, v in tests])
-        parts.append(_long(model, "accepted_values", row, [c for c, _ in tests]))
-    return reduce(DataFrame.unionByName, parts)
+    return _per_model_counts(models, "accepted_values")
 
 
 def test_relationships(models: dict[str, DataFrame]) -> DataFrame:

@@ -3,6 +3,7 @@ derived from the two inputs and ``as_of``; nothing runs until an action."""
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,9 @@ from ..operators import (staging, dims, daily, kpis, performance, budget, attrib
 class Mart:
     def __init__(self, spark: SparkSession, user_data: DataFrame, spend: DataFrame,
                  buckets: DataFrame | None = None, as_of=None,
-                 hot_threshold: int = attribution.HOT_THRESHOLD):
+                 hot_threshold: int = attribution.HOT_THRESHOLD, materialize: bool = False):
         self.spark = spark
+        self.materialize = materialize
         self.user_data = user_data
         self.spend = spend
         self.buckets = buckets if buckets is not None else cv_bucket_table(spark)
@@ -26,6 +28,34 @@ class Mart:
         # plan stays lazy and follows the data.
         self.as_of = as_of if as_of is not None else spend.agg(F.max("date")).scalar()
         self.hot_threshold = hot_threshold
+        self._run_id = uuid.uuid4().hex[:12]
+        self._written: list[str] = []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        """In materialize mode each model is computed once, written as a
+        Parquet table under the cluster's shared checkpoint folder, and read
+        back by downstream models, as a warehouse build would. This cuts the
+        lineage (a lost executor recomputes from the written table, not from
+        the raw inputs)."""
+        if not self.materialize:
+            return df
+        path = sinks.scratch_path(self.spark, f"mart-{self._run_id}", f"t{len(self._written)}")
+        sinks.write_table(df, path)
+        self._written.append(path)
+        return self.spark.read.parquet(path)
+
+    def materialized(self) -> "Mart":
+        """The same mart with every model materialized once (used where many
+        models are read many times, e.g. the data tests)."""
+        if self.materialize:
+            return self
+        if not hasattr(self, "_materialized"):
+            as_of = self.as_of
+            if not isinstance(as_of, __import__("datetime").date):
+                as_of = self.spend.agg(F.max("date")).first()[0]
+            self._materialized = Mart(self.spark, self.user_data, self.spend, self.buckets, as_of,
+                                      self.hot_threshold, materialize=True)
+        return self._materialized
 
     @classmethod
     def from_tables(cls, spark: SparkSession, base: str, **kw) -> "Mart":
@@ -60,24 +90,24 @@ class Mart:
 
     @cached_property
     def campaign_metrics(self):
-        return staging.stg_campaign_metrics(kpis.campaign_metrics(self.kpi_forecast))
+        return self._keep(staging.stg_campaign_metrics(kpis.campaign_metrics(self.kpi_forecast)))
 
     # --------------------------------------------------------- dimensions
     @cached_property
     def dim_campaign(self):
-        return dims.dim_campaign(self.campaign_metrics)
+        return self._keep(dims.dim_campaign(self.campaign_metrics))
 
     @cached_property
     def dim_network(self):
-        return dims.dim_network(self.campaign_metrics)
+        return self._keep(dims.dim_network(self.campaign_metrics))
 
     @cached_property
     def dim_platform(self):
-        return dims.dim_platform(self.campaign_metrics)
+        return self._keep(dims.dim_platform(self.campaign_metrics))
 
     @cached_property
     def dim_date(self):
-        return dims.dim_date(self.spark, self.as_of)
+        return self._keep(dims.dim_date(self.spark, self.as_of))
 
     @property
     def dims(self) -> dict:
@@ -99,8 +129,8 @@ class Mart:
 
     @cached_property
     def campaign_daily(self):
-        return daily.campaign_daily(self.spend_user_full_outer, self.dim_campaign, self.dim_network,
-                                    self.dim_platform, self.dim_date)
+        return self._keep(daily.campaign_daily(self.spend_user_full_outer, self.dim_campaign, self.dim_network,
+                                    self.dim_platform, self.dim_date))
 
     @cached_property
     def daily_enriched(self):
@@ -110,8 +140,8 @@ class Mart:
     # -------------------------------------------------------- performance
     @cached_property
     def perf_fact(self):
-        return performance.perf_fact(self.campaign_metrics, self.dim_campaign, self.dim_network,
-                                     self.dim_platform, self.dim_date, self.as_of)
+        return self._keep(performance.perf_fact(self.campaign_metrics, self.dim_campaign, self.dim_network,
+                                     self.dim_platform, self.dim_date, self.as_of))
 
     @cached_property
     def perf_enriched(self):
@@ -119,12 +149,12 @@ class Mart:
 
     @cached_property
     def campaign_tiers(self):
-        return performance.campaign_tiers(self.perf_fact)
+        return self._keep(performance.campaign_tiers(self.perf_fact))
 
     @cached_property
     def campaign_summary(self):
-        return performance.campaign_summary(self.perf_fact, self.campaign_daily, self.dim_campaign,
-                                            self.dim_network, self.dim_platform, self.as_of)
+        return self._keep(performance.campaign_summary(self.perf_fact, self.campaign_daily, self.dim_campaign,
+                                            self.dim_network, self.dim_platform, self.as_of))
 
     @cached_property
     def revenue_growth(self):
@@ -132,12 +162,12 @@ class Mart:
 
     @cached_property
     def budget_plan(self):
-        return budget.budget_plan(self.perf_enriched)
+        return self._keep(budget.budget_plan(self.perf_enriched))
 
     # -------------------------------------------------------- attribution
     @cached_property
     def touchpoints(self):
-        return attribution.touchpoints(self.stg_user_data, self.hot_threshold)
+        return self._keep(attribution.touchpoints(self.stg_user_data, self.hot_threshold))
 
     @cached_property
     def spend_by_campaign(self):
@@ -145,12 +175,12 @@ class Mart:
 
     @cached_property
     def attribution_all(self):
-        return attribution.attribution_all(self.touchpoints, self.spend_by_campaign)
+        return self._keep(attribution.attribution_all(self.touchpoints, self.spend_by_campaign))
 
     # ------------------------------------------------------------ cohorts
     @cached_property
     def cohort_ltv(self):
-        return cohorts.cohort_ltv(self.stg_user_data)
+        return self._keep(cohorts.cohort_ltv(self.stg_user_data))
 
     @cached_property
     def cohort_retention(self):
@@ -163,21 +193,9 @@ class Mart:
 
     # --------------------------------------------------------- governance
     @cached_property
-    def checks(self) -> dict:
-        dq = {
-            "dq_campaign": quality.dq_campaign(self.perf_fact),
-            "dq_spend": quality.dq_spend(self.stg_spend),
-            "dq_users": quality.dq_users(self.stg_user_data),
-            "dq_referential": quality.dq_referential(self.perf_fact, self.dim_campaign, self.dim_network,
-                                                     self.dim_platform),
-            "dq_tiers": quality.dq_tiers(self.campaign_tiers),
-            "dq_date_dim": quality.dq_date_dim(self.dim_date, self.as_of),
-            "dq_daily_partitions": quality.dq_daily_partitions(self.campaign_daily, self.as_of),
-        }
-        dq["dq_scores"] = quality.dq_scores(dq["dq_campaign"], dq["dq_spend"], dq["dq_users"],
-                                            dq["dq_referential"])
-        dq["dq_score_logic"] = quality.dq_score_logic(dq["dq_scores"])
-        return dq
+    def checks(self) -> "_Checks":
+        """Governance checks, each built only when first used."""
+        return _Checks(self)
 
     @property
     def models(self) -> dict:
@@ -192,6 +210,11 @@ class Mart:
             "stg_campaign_metrics": self.campaign_metrics, "dim_cv_bucket": self.buckets,
         }
 
+    @property
+    def materialized_models(self) -> dict:
+        """Models of the materialized twin (see ``materialized``)."""
+        return self.materialized().models
+
     @cached_property
     def table_stats(self):
         return lineage.table_stats({"fact_campaign_performance": self.perf_fact,
@@ -222,3 +245,38 @@ class Mart:
         sinks.write_partitioned(self.campaign_daily, path)
         written["fact_campaign_daily"] = path
         return written
+
+
+class _Checks:
+    """Lazy mapping of check name -> one-row DataFrame."""
+
+    def __init__(self, m: Mart):
+        self._m = m
+        self._built: dict = {}
+
+    def _make(self, name: str):
+        m = self._m
+        if name == "dq_campaign":
+            return quality.dq_campaign(m.perf_fact)
+        if name == "dq_spend":
+            return quality.dq_spend(m.stg_spend)
+        if name == "dq_users":
+            return quality.dq_users(m.stg_user_data)
+        if name == "dq_referential":
+            return quality.dq_referential(m.perf_fact, m.dim_campaign, m.dim_network, m.dim_platform)
+        if name == "dq_tiers":
+            return quality.dq_tiers(m.campaign_tiers)
+        if name == "dq_date_dim":
+            return quality.dq_date_dim(m.dim_date, m.as_of)
+        if name == "dq_daily_partitions":
+            return quality.dq_daily_partitions(m.campaign_daily, m.as_of)
+        if name == "dq_scores":
+            return quality.dq_scores(self["dq_campaign"], self["dq_spend"], self["dq_users"], self["dq_referential"])
+        if name == "dq_score_logic":
+            return quality.dq_score_logic(self["dq_scores"])
+        raise KeyError(name)
+
+    def __getitem__(self, name: str):
+        if name not in self._built:
+            self._built[name] = self._make(name)
+        return self._built[name]

@@ -102,7 +102,7 @@ def _wide_stats(m: Mart) -> DataFrame:
 
 
 def _column_results(m: Mart) -> DataFrame:
-    models = m.models
+    models = m.materialized_models
     return (quality.test_not_null(models).unionByName(quality.test_accepted_values(models))
             .unionByName(quality.test_relationships(models)).unionByName(quality.test_unique(models)))
 
@@ -185,9 +185,9 @@ BUILDERS: dict[str, Callable[[Mart], DataFrame]] = {
     "dq_daily_partitions": lambda m: m.checks["dq_daily_partitions"],
     "dq_score_logic": lambda m: m.checks["dq_score_logic"],
     "test_unique_user_id": lambda m: quality.duplicate_keys(m.stg_user_data, "user_id"),
-    "test_not_null": lambda m: quality.test_not_null(m.models),
-    "test_accepted_values": lambda m: quality.test_accepted_values(m.models),
-    "test_relationships": lambda m: quality.test_relationships(m.models),
+    "test_not_null": lambda m: quality.test_not_null(m.materialized_models),
+    "test_accepted_values": lambda m: quality.test_accepted_values(m.materialized_models),
+    "test_relationships": lambda m: quality.test_relationships(m.materialized_models),
     "test_report": lambda m: quality.test_report(_column_results(m), m.checks),
     "table_stats": lambda m: m.table_stats,
     "lineage": lambda m: m.lineage,

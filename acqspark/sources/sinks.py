@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_path(spark: SparkSession, *parts: str) -> str:
+    """A folder under the shared checkpoint directory the cluster names
+    (``spark.checkpoint.dir``); never a machine-local temp folder."""
+    from ..session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return "/".join([base, "acqspark", *parts])
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Full rebuild (table materialization)."""
     df.write.mode("overwrite").parquet(path)
