@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import surrogate_key, adjusted_revenue, safe_ratio
+from ..functions import surrogate_key, adjusted_revenue
 
 KEYS = ["platform", "campaign_name", "network_name"]
 TOUCH_ORDER = ["install_date", "campaign_name", "src_id"]
@@ -32,23 +32,27 @@ LABEL_LAST = "Last-touch (direct response dominant)"
 
 
 def rank_within(df: DataFrame, key: str, order: list[str], hot_threshold: int = HOT_THRESHOLD,
-                order_col: str = "touchpoint_order", count_col: str = "touchpoint_count") -> DataFrame:
+                order_col: str = "touchpoint_order", count_col: str = "touchpoint_count",
+                sums: dict | None = None) -> DataFrame:
     """row_number() and count() per ``key`` ordered by ``order`` (which must be
-    unique within a key), safe for keys holding a large share of all rows."""
+    unique within a key), plus per-key sums of the ``sums`` columns
+    (name -> source column), safe for keys holding a large share of all rows."""
+    sums = sums or {}
     counts = df.groupBy(key).agg(F.count("*").alias(count_col))
     hot = counts.filter(F.col(count_col) > hot_threshold)
     stats = hot.agg(F.count("*").alias("k"), F.sum(count_col).alias("rows")).first()
     w_cold = Window.partitionBy(key).orderBy(*order)
     w_all = Window.partitionBy(key)
+    cold_cols = {order_col: F.row_number().over(w_cold), count_col: F.count("*").over(w_all)}
+    cold_cols.update({name: F.sum(src).over(w_all) for name, src in sums.items()})
     if not stats["k"]:
-        return df.withColumns({order_col: F.row_number().over(w_cold),
-                               count_col: F.count("*").over(w_all)})
+        return df.withColumns(cold_cols)
 
     # Route rows by a broadcast of the hot keys (<= N / hot_threshold keys),
     # before any shuffle on the key.
-    flagged = df.join(F.broadcast(hot.withColumnRenamed(count_col, "_hot_n")), key, "left")
-    cold = (flagged.filter(F.col("_hot_n").isNull()).drop("_hot_n")
-            .withColumns({order_col: F.row_number().over(w_cold), count_col: F.count("*").over(w_all)}))
+    hot_keys = hot.select(key, F.col(count_col).alias("_hot_n"))
+    flagged = df.join(F.broadcast(hot_keys), key, "left")
+    cold = flagged.filter(F.col("_hot_n").isNull()).drop("_hot_n").withColumns(cold_cols)
 
     n_blocks = max(2, math.ceil(stats["rows"] / hot_threshold))
     # Range partitioning gives each block a contiguous slice of (key, order);
@@ -67,6 +71,10 @@ def rank_within(df: DataFrame, key: str, order: list[str], hot_threshold: int =
                   .withColumn(order_col, (F.col("_local") + F.col("_off")).cast("int"))
                   .withColumn(count_col, F.col("_hot_n"))
                   .drop("_local", "_off", "_blk", "_hot_n"))
+    if sums:
+        # per-key sums of the hot keys: a partial aggregate over their blocks
+        hot_sums = blocks.groupBy(key).agg(*[F.sum(src).alias(name) for name, src in sums.items()])
+        hot_ranked = hot_ranked.join(F.broadcast(hot_sums), key)
     return cold.unionByName(hot_ranked)
 
 
@@ -76,9 +84,9 @@ def touchpoints(stg_users: DataFrame, hot_threshold: int = HOT_THRESHOLD) -> Dat
     t = (stg_users.filter(F.col("campaign_name").isNotNull() & F.col("network_name").isNotNull())
          .select("src_id", "adid", "platform", "install_date", "campaign_name", "network_name", "revenue_usd",
                  adjusted_revenue("lower", null_as_zero=False).alias("adjusted_revenue")))
-    r = rank_within(t, "adid", TOUCH_ORDER, hot_threshold)
+    r = rank_within(t, "adid", TOUCH_ORDER, hot_threshold, sums={"device_revenue": "adjusted_revenue"})
     return r.select(*t.columns, F.col("touchpoint_order").cast("int").alias("touchpoint_order"),
-                    F.col("touchpoint_count").cast("bigint").alias("touchpoint_count"))
+                    F.col("touchpoint_count").cast("bigint").alias("touchpoint_count"), "device_revenue")
 
 
 def _o():
@@ -93,14 +101,20 @@ def _r():
     return F.col("adjusted_revenue")
 
 
-# Credit of one touchpoint under each model (the literal model weights, and
-# normalized variants whose weights sum to 1 per device).
+def _dr():
+    return F.col("device_revenue")
+
+
+# Credit of one touchpoint under each model: the literal model weights applied
+# to the touchpoint's own revenue, and normalized variants that split the
+# device's total revenue with weights summing to 1 (so they hand out exactly
+# the total revenue).
 def credit_linear():
     return _r() / _o()
 
 
 def credit_linear_norm():
-    return _r() / _n()
+    return _dr() / _n()
 
 
 def credit_time_decay():
@@ -108,7 +122,7 @@ def credit_time_decay():
 
 
 def credit_time_decay_norm():
-    return _r() * (_o().cast("double") / (_n() * (_n() + 1) / 2))
+    return _dr() * (_o().cast("double") / (_n() * (_n() + 1) / 2))
 
 
 def credit_position():
@@ -117,10 +131,10 @@ def credit_position():
 
 
 def credit_position_norm():
-    return (F.when(_n() == 1, _r())
-            .when(_n() == 2, _r() * 0.5)
-            .when((_o() == 1) | (_o() == _n()), _r() * POS_FIRST)
-            .otherwise(_r() * (POS_MIDDLE / (_n() - 2))))
+    return (F.when(_n() == 1, _dr())
+            .when(_n() == 2, _dr() * 0.5)
+            .when((_o() == 1) | (_o() == _n()), _dr() * POS_FIRST)
+            .otherwise(_dr() * (POS_MIDDLE / (_n() - 2))))
 
 
 def _is_first():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import surrogate_key, money_key
@@ -54,11 +54,11 @@ def after_high_water(source: DataFrame, target: DataFrame, col: str, lookback_da
 
 def dedupe_latest(df: DataFrame, key: str, order_col: str = "src_id") -> DataFrame:
     """Keep one row per key, the one with the highest ``order_col``.
-    An aggregate (partial + final), so a key with very many copies is
-    collapsed map-side instead of landing whole in one window task."""
-    others = [c for c in df.columns if c != key]
-    best = F.max_by(F.struct(*others), F.col(order_col)).alias("_row")
-    return df.groupBy(key).agg(best).select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+    ``row_number() == 1`` lets Spark insert a partial WindowGroupLimit before
+    the shuffle: each map task forwards at most one row per key, so a key
+    with very many copies is collapsed map-side, like a partial aggregate."""
+    w = Window.partitionBy(key).orderBy(F.col(order_col).desc())
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
@@ -68,17 +68,20 @@ def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return keep.unionByName(source)
 
 
+def _incremental(staged: DataFrame, key: str, date_col: str, cut, lookback_days: int) -> DataFrame:
+    previous = staged.filter(F.col(date_col) <= as_col(cut))
+    target = dedupe_latest(previous, key)
+    # The key contains the date, so deduplication keeps every date: the mark
+    # of the raw previous rows equals the mark of the deduplicated target.
+    batch = after_high_water(staged, previous, date_col, lookback_days)
+    return upsert(target, dedupe_latest(batch, key), key)
+
+
 def incremental_stg_spend(spend: DataFrame, cut, lookback_days: int = 0) -> DataFrame:
     """State of stg_spend after an incremental run: the previous build holds the
     rows up to ``cut``; the run loads rows after its high-water mark and merges."""
-    cut_c = as_col(cut)
-    target = dedupe_latest(stg_spend(spend.filter(F.col("date") <= cut_c)), "spend_id")
-    batch = after_high_water(stg_spend(spend), target, "date", lookback_days)
-    return upsert(target, dedupe_latest(batch, "spend_id"), "spend_id")
+    return _incremental(stg_spend(spend), "spend_id", "date", cut, lookback_days)
 
 
 def incremental_stg_user_data(user_data: DataFrame, cut, lookback_days: int = 0) -> DataFrame:
-    cut_c = as_col(cut)
-    target = dedupe_latest(stg_user_data(user_data.filter(F.col("install_date") <= cut_c)), "user_id")
-    batch = after_high_water(stg_user_data(user_data), target, "install_date", lookback_days)
-    return upsert(target, dedupe_latest(batch, "user_id"), "user_id")
+    return _incremental(stg_user_data(user_data), "user_id", "install_date", cut, lookback_days)

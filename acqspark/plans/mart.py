@@ -230,23 +230,32 @@ class Mart:
         return incremental.daily_window(self.stg_spend, self.stg_user_data, self.dims, self.as_of, days)
 
     # -------------------------------------------------------- materialize
-    def build(self, out: str) -> dict[str, str]:
-        """Write every table under ``out`` (Parquet; the daily fact
-        partitioned by date and clustered). Later readers use the written
-        tables, which also cuts the lineage of the lazy plans."""
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Expose every model as a temporary view for SQL users
+        (``spark.sql("select ... from fact_campaign_daily")``)."""
+        names = []
+        for name, df in self.models.items():
+            df.createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        return names
+
+    def build(self, out: str, as_of_ts=None) -> dict[str, str]:
+        """Write every model under ``out`` (Parquet; the daily fact
+        partitioned by date and clustered by its ids), with created_at /
+        updated_at set to the run timestamp (``as_of_ts``, default as_of at
+        midnight). Each write is one job; re-running overwrites (the daily
+        fact only in the partitions it contains)."""
+        ts = as_of_ts if as_of_ts is not None else dims.as_of_date(self.as_of).cast("timestamp")
         written = {}
-        tables = dict(self.models)
-        tables.pop("fact_campaign_daily")
-        for name, df in tables.items():
+        for name, df in self.models.items():
             path = f"{out.rstrip('/')}/{name}"
-            sinks.write_table(df, path)
+            if name == "fact_campaign_daily":
+                sinks.write_partitioned(sinks.with_audit(df, ts), path)
+            else:
+                sinks.write_table(sinks.with_audit(df, ts), path)
             written[name] = path
-        path = f"{out.rstrip('/')}/fact_campaign_daily"
-        sinks.write_partitioned(self.campaign_daily, path)
-        written["fact_campaign_daily"] = path
         return written
 
-
 class _Checks:
     """Lazy mapping of check name -> one-row DataFrame."""
 

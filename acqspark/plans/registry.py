@@ -53,6 +53,7 @@ ROUNDING: dict[str, tuple[list[str], list[str]]] = {
     "cohort_ltv": (["total_cohort_revenue"],
                    ["initial_arpu", "ltv_current", "ltv_3m_projected", "ltv_6m_projected", "ltv_12m_projected"]),
     "cohort_retention": (["cohort_revenue"], []),
+    "touchpoints": (["device_revenue"], []),
     "kpi_campaign": (["total_revenue", "total_spend"], ["roas", "arpu"]),
     "kpi_forecast": (["total_revenue", "total_spend", "forecasted_revenue"], ["roas", "arpu"]),
     "dash_top_campaign": (["forecasted_revenue"], ["roas", "arpu"]),

@@ -3,7 +3,7 @@ clustering, MERGE-style upserts into touched partitions, CSV export."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,5 +60,10 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def with_audit(df: DataFrame, as_of_ts) -> DataFrame:
     """created_at / updated_at as the run's timestamp (never the clock)."""
-    ts = F.lit(as_of_ts).cast("timestamp") if not hasattr(as_of_ts, "_jc") else as_of_ts.cast("timestamp")
+    ts = as_of_ts.cast("timestamp") if isinstance(as_of_ts, Column) else F.lit(as_of_ts).cast("timestamp")
     return df.withColumns({"created_at": ts, "updated_at": ts})
+
+
+def store_failures(violations: DataFrame, path: str) -> None:
+    """Persist failing test rows (already capped by the caller)."""
+    violations.write.mode("overwrite").parquet(path)
