@@ -66,28 +66,41 @@ def spend_user_full_outer(spend_daily: DataFrame, users_daily: DataFrame) -> Dat
     )
 
 
-def campaign_daily(combined: DataFrame, dim_campaign: DataFrame, dim_network: DataFrame,
-                   dim_platform: DataFrame, dim_date: DataFrame) -> DataFrame:
+CALENDAR_COLS = ["year", "month", "quarter", "day_of_week", "season", "week_of_year"]
+ENRICHED_COLS = ["date", *CALENDAR_COLS, "platform", "network_name", "campaign_name", "daily_revenue",
+                 "daily_spend", "daily_roas", "daily_arpu", "daily_users"]
+
+
+def campaign_daily_named(combined: DataFrame, dim_campaign: DataFrame, dim_network: DataFrame,
+                         dim_platform: DataFrame, dim_date: DataFrame) -> DataFrame:
     """Attach the dimension ids (inner joins, as the model does: names missing
-    from a dimension drop out). Dimensions are distinct-name tables; AQE turns
-    these into broadcast joins from their runtime size."""
+    from a dimension drop out) and keep names and calendar attributes too,
+    so the daily fact and its enriched view come from one join chain.
+    Dimensions are distinct-name tables; AQE broadcasts them from their
+    runtime size."""
     j = (combined
          .join(dim_campaign, "campaign_name")
          .join(dim_network, "network_name")
          .join(dim_platform, "platform")
-         .join(dim_date.select("date", "date_id"), "date"))
+         .join(dim_date.select("date", "date_id", *CALENDAR_COLS), "date"))
     key = surrogate_key("date", "campaign_id", "network_id", "platform_id")
-    return j.select(key.alias("campaign_daily_id"), *DAILY_COLS[1:])
+    return j.select(key.alias("campaign_daily_id"), *DAILY_COLS[1:], *CALENDAR_COLS,
+                    "platform", "network_name", "campaign_name")
+
+
+def campaign_daily(combined: DataFrame, dim_campaign: DataFrame, dim_network: DataFrame,
+                   dim_platform: DataFrame, dim_date: DataFrame) -> DataFrame:
+    return campaign_daily_named(combined, dim_campaign, dim_network, dim_platform, dim_date).select(*DAILY_COLS)
 
 
 def daily_enriched(daily: DataFrame, dim_campaign: DataFrame, dim_network: DataFrame,
                    dim_platform: DataFrame, dim_date: DataFrame) -> DataFrame:
-    """The daily fact with calendar attributes and names (seasonality input)."""
-    dd = dim_date.select("date_id", "year", "month", "quarter", "day_of_week", "season", "week_of_year")
+    """A stored daily fact with calendar attributes and names, joined back by
+    id (seasonality input). When the fact is built in the same plan,
+    ``campaign_daily_named`` gives the same rows without the round trip."""
+    dd = dim_date.select("date_id", *CALENDAR_COLS)
     j = (daily.join(dd, "date_id")
          .join(dim_platform, "platform_id")
          .join(dim_network, "network_id")
          .join(dim_campaign, "campaign_id"))
-    return j.select("date", "year", "month", "quarter", "day_of_week", "season", "week_of_year",
-                    "platform", "network_name", "campaign_name", "daily_revenue", "daily_spend",
-                    "daily_roas", "daily_arpu", "daily_users")
+    return j.select(*ENRICHED_COLS)

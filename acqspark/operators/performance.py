@@ -25,6 +25,22 @@ ACTION_PAUSE = "Pause - Poor performance, reallocate budget"
 SUMMARY_WINDOW_DAYS = 30
 
 
+def perf_named(metrics: DataFrame, dim_campaign: DataFrame, dim_network: DataFrame,
+               dim_platform: DataFrame, dim_date: DataFrame, as_of) -> DataFrame:
+    """perf_fact plus the names (one join chain serves the fact and the
+    enriched dashboard view)."""
+    today = dim_date.select(F.col("date").alias("_as_of"), "date_id")
+    j = (metrics
+         .join(dim_campaign, "campaign_name")
+         .join(dim_network, "network_name")
+         .join(dim_platform, "platform")
+         .withColumn("_as_of", as_of_date(as_of))
+         .join(today, "_as_of"))
+    key = surrogate_key("campaign_id", "network_id", "platform_id", money_key("total_revenue"), "total_users")
+    return j.select(key.alias("campaign_performance_id"), *IDS, "date_id", *PERF_METRICS,
+                    "platform", "campaign_name", "network_name")
+
+
 def perf_fact(metrics: DataFrame, dim_campaign: DataFrame, dim_network: DataFrame,
               dim_platform: DataFrame, dim_date: DataFrame, as_of) -> DataFrame:
     """Campaign metrics with dimension ids and the date_id of ``as_of``. The
@@ -80,8 +96,9 @@ def health_score(roas="roas", conversion_rate="conversion_rate", arpu="arpu", pr
             + F.when(F.col(arpu) > 2.0, 20).otherwise(0) + F.when(F.col(prob) > 0.7, 10).otherwise(0))
 
 
-def campaign_summary(perf: DataFrame, daily: DataFrame, dim_campaign: DataFrame, dim_network: DataFrame,
-                     dim_platform: DataFrame, as_of, previous: DataFrame | None = None,
+def campaign_summary(perf: DataFrame, daily: DataFrame, dim_campaign: DataFrame | None,
+                     dim_network: DataFrame | None, dim_platform: DataFrame | None, as_of,
+                     previous: DataFrame | None = None,
                      window_days: int = SUMMARY_WINDOW_DAYS) -> DataFrame:
     """Totals plus last-30-day sums/averages per campaign cell.
 
@@ -98,8 +115,9 @@ def campaign_summary(perf: DataFrame, daily: DataFrame, dim_campaign: DataFrame,
                  F.sum("daily_spend").alias("last_30d_spend"),
                  F.avg("daily_roas").alias("avg_30d_roas"),
                  F.avg("daily_arpu").alias("avg_30d_arpu")))
-    j = (perf.join(last, IDS, "left")
-         .join(dim_campaign, "campaign_id").join(dim_network, "network_id").join(dim_platform, "platform_id"))
+    j = perf.join(last, IDS, "left")
+    if "campaign_name" not in perf.columns:  # a stored fact: fetch the names by id
+        j = j.join(dim_campaign, "campaign_id").join(dim_network, "network_id").join(dim_platform, "platform_id")
     if previous is not None:
         prev = previous.select(*IDS, F.col("total_revenue").alias("_prev_revenue"))
         j = j.join(prev, IDS, "left")

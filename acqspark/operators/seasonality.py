@@ -166,26 +166,27 @@ def seasonality_wide_stats(dp: DataFrame) -> DataFrame:
     """Statistics of the wide table per platform without building it.
 
     The wide table per platform is the product of five sides, so its row
-    count is the product of the side counts, a column of one side appears
-    (product of the other counts) times per row of that side, and its
-    average over the wide rows equals its average over that side. Five
-    small aggregates replace a fan-out of ~27,000 x the seasonal rows."""
+    count is the product of the side counts, and a column of one side
+    appears (product of the other counts) times per row of that side: its
+    sum over the wide rows is its side sum times that product. Five small
+    aggregates replace a fan-out of ~27,000 x the seasonal rows. Reported:
+    row and side counts, the day and user counters, and the revenue columns
+    that are sums (seasonal, monthly)."""
     t = seasonality_tables(dp)
     parts = {
         "seasonal": t["seasonal"].groupBy("platform").agg(
             F.count("*").alias("n_seasonal"), F.sum("seasonal_users").alias("s_seasonal_users"),
-            F.avg("seasonal_revenue").alias("avg_seasonal_revenue")),
+            F.sum("days_in_season").alias("s_days_in_season"), F.sum("seasonal_revenue").alias("s_seasonal_revenue")),
         "dow": t["dow"].groupBy("platform").agg(
             F.count("*").alias("n_dow"), F.sum("total_users").alias("s_dow_users"),
-            F.avg("avg_daily_revenue").alias("avg_dow_revenue")),
+            F.sum("occurrences").alias("s_occurrences")),
         "month": t["month"].groupBy("platform").agg(
             F.count("*").alias("n_month"), F.sum("monthly_users").alias("s_monthly_users"),
-            F.avg("monthly_revenue").alias("avg_monthly_revenue")),
+            F.sum("monthly_revenue").alias("s_monthly_revenue")),
         "week": t["week"].groupBy("platform").agg(
-            F.count("*").alias("n_week"), F.avg("avg_weekly_revenue").alias("avg_weekly_revenue")),
+            F.count("*").alias("n_week"), F.sum("weeks_tracked").alias("s_weeks_tracked")),
         "special": t["special"].groupBy("platform").agg(
-            F.count("*").alias("n_special"), F.sum("total_users").alias("s_special_users"),
-            F.avg("avg_daily_revenue").alias("avg_special_revenue")),
+            F.count("*").alias("n_special"), F.sum("total_users").alias("s_special_users")),
     }
     j = parts["seasonal"]
     for side in SIDES[1:]:
@@ -205,9 +206,12 @@ def seasonality_wide_stats(dp: DataFrame) -> DataFrame:
         rows.alias("wide_rows"),
         *[n[s].alias(f"n_{s}") for s in SIDES],
         (F.col("s_seasonal_users") * others("seasonal")).alias("sum_seasonal_users"),
+        (F.col("s_days_in_season") * others("seasonal")).alias("sum_days_in_season"),
         (F.col("s_dow_users") * others("dow")).alias("sum_dow_total_users"),
+        (F.col("s_occurrences") * others("dow")).alias("sum_occurrences"),
         (F.col("s_monthly_users") * others("month")).alias("sum_monthly_users"),
+        (F.col("s_weeks_tracked") * others("week")).alias("sum_weeks_tracked"),
         (F.col("s_special_users") * others("special")).alias("sum_special_total_users"),
-        "avg_seasonal_revenue", "avg_dow_revenue", "avg_monthly_revenue", "avg_weekly_revenue",
-        "avg_special_revenue",
+        (F.col("s_seasonal_revenue") * others("seasonal")).alias("sum_seasonal_revenue"),
+        (F.col("s_monthly_revenue") * others("month")).alias("sum_monthly_revenue"),
     )

@@ -93,17 +93,28 @@ class Mart:
         return self._keep(staging.stg_campaign_metrics(kpis.campaign_metrics(self.kpi_forecast)))
 
     # --------------------------------------------------------- dimensions
+    @property
+    def _dim_source(self) -> DataFrame:
+        """The dimensions are the distinct names of the campaign metrics. Those
+        metrics have exactly one row per (platform, campaign, network) group of
+        the install rows (spend and forecast are left-joined onto it), so the
+        names are read from the install rows directly: same sets, and a scan
+        plus a distinct instead of the whole metrics plan inside every join."""
+        if self.materialize:
+            return self.campaign_metrics
+        return self.user_data.select("platform", "campaign_name", "network_name")
+
     @cached_property
     def dim_campaign(self):
-        return self._keep(dims.dim_campaign(self.campaign_metrics))
+        return self._keep(dims.dim_campaign(self._dim_source))
 
     @cached_property
     def dim_network(self):
-        return self._keep(dims.dim_network(self.campaign_metrics))
+        return self._keep(dims.dim_network(self._dim_source))
 
     @cached_property
     def dim_platform(self):
-        return self._keep(dims.dim_platform(self.campaign_metrics))
+        return self._keep(dims.dim_platform(self._dim_source))
 
     @cached_property
     def dim_date(self):
@@ -127,25 +138,39 @@ class Mart:
     def spend_user_full_outer(self):
         return daily.spend_user_full_outer(self.daily_spend, self.daily_users)
 
+    @cached_property
+    def campaign_daily_named(self):
+        return daily.campaign_daily_named(self.spend_user_full_outer, self.dim_campaign, self.dim_network,
+                                          self.dim_platform, self.dim_date)
+
     @cached_property
     def campaign_daily(self):
-        return self._keep(daily.campaign_daily(self.spend_user_full_outer, self.dim_campaign, self.dim_network,
-                                    self.dim_platform, self.dim_date))
+        return self._keep(self.campaign_daily_named.select(*daily.DAILY_COLS))
 
     @cached_property
     def daily_enriched(self):
-        return daily.daily_enriched(self.campaign_daily, self.dim_campaign, self.dim_network,
-                                    self.dim_platform, self.dim_date)
+        if self.materialize:  # join the stored fact back to the stored dimensions
+            return daily.daily_enriched(self.campaign_daily, self.dim_campaign, self.dim_network,
+                                        self.dim_platform, self.dim_date)
+        return self.campaign_daily_named.select(*daily.ENRICHED_COLS)
 
     # -------------------------------------------------------- performance
+    @cached_property
+    def perf_named(self):
+        return performance.perf_named(self.campaign_metrics, self.dim_campaign, self.dim_network,
+                                      self.dim_platform, self.dim_date, self.as_of)
+
     @cached_property
     def perf_fact(self):
-        return self._keep(performance.perf_fact(self.campaign_metrics, self.dim_campaign, self.dim_network,
-                                     self.dim_platform, self.dim_date, self.as_of))
+        return self._keep(self.perf_named.select(*self.perf_named.columns[:13]))
 
     @cached_property
     def perf_enriched(self):
-        return performance.perf_enriched(self.perf_fact, self.dim_campaign, self.dim_network, self.dim_platform)
+        if self.materialize:
+            return performance.perf_enriched(self.perf_fact, self.dim_campaign, self.dim_network,
+                                             self.dim_platform)
+        return self.perf_named.select(*performance.IDS, *performance.PERF_METRICS,
+                                      "platform", "campaign_name", "network_name")
 
     @cached_property
     def campaign_tiers(self):
@@ -153,8 +178,9 @@ class Mart:
 
     @cached_property
     def campaign_summary(self):
-        return self._keep(performance.campaign_summary(self.perf_fact, self.campaign_daily, self.dim_campaign,
-                                            self.dim_network, self.dim_platform, self.as_of))
+        perf = self.perf_fact if self.materialize else self.perf_named
+        return self._keep(performance.campaign_summary(perf, self.campaign_daily, self.dim_campaign,
+                                                       self.dim_network, self.dim_platform, self.as_of))
 
     @cached_property
     def revenue_growth(self):

@@ -65,10 +65,9 @@ ROUNDING: dict[str, tuple[list[str], list[str]]] = {
     "dow_patterns": (["avg_daily_revenue"], ["avg_daily_roas", "avg_daily_arpu"]),
     "monthly_trends": (["monthly_revenue", "monthly_spend", "prev_month_revenue"],
                        ["avg_monthly_roas", "avg_monthly_arpu"]),
-    "weekly_patterns": (["avg_weekly_revenue"], ["avg_weekly_roas"]),
-    "special_periods": (["avg_daily_revenue"], ["avg_daily_roas"]),
-    "seasonality_wide_stats": (["avg_seasonal_revenue", "avg_dow_revenue", "avg_monthly_revenue",
-                                "avg_weekly_revenue", "avg_special_revenue"], []),
+    "weekly_patterns": ([], ["avg_weekly_revenue", "avg_weekly_roas"]),
+    "special_periods": ([], ["avg_daily_revenue", "avg_daily_roas"]),
+    "seasonality_wide_stats": (["sum_seasonal_revenue", "sum_monthly_revenue"], []),
     "high_roas_prob": (["total_revenue", "total_spend"], ["roas", "arpu", "high_roas_prob"]),
 }
 

@@ -17,13 +17,15 @@ def test_wide_stats_equal_brute_force_wide_table(dp):
     wide = seasonality.seasonality_wide(dp)
     brute = wide.groupBy("platform").agg(
         F.count("*").alias("rows"), F.sum("seasonal_users").alias("su"), F.sum("dow_total_users").alias("du"),
-        F.avg("seasonal_revenue").alias("ar"), F.avg("monthly_revenue").alias("mr"))
+        F.sum("weeks_tracked").alias("wt"), F.sum("seasonal_revenue").alias("sr"),
+        F.sum("monthly_revenue").alias("mr"))
     for r in brute.collect():
         s = stats[r["platform"]]
         assert s["wide_rows"] == r["rows"]
         assert s["sum_seasonal_users"] == r["su"] and s["sum_dow_total_users"] == r["du"]
-        assert s["avg_seasonal_revenue"] == pytest.approx(r["ar"])
-        assert s["avg_monthly_revenue"] == pytest.approx(r["mr"])
+        assert s["sum_weeks_tracked"] == r["wt"]
+        assert s["sum_seasonal_revenue"] == pytest.approx(r["sr"])
+        assert s["sum_monthly_revenue"] == pytest.approx(r["mr"])
 
 
 def test_index_is_100_for_nonpositive_average(spark):
