@@ -55,10 +55,15 @@ def cohort_retention(stg_users: DataFrame) -> DataFrame:
     first = u.groupBy("adid").agg(F.min("activity_month").alias("cohort_month"))
     j = u.join(first, "adid").withColumn(
         "months_since_install", (month_index("activity_month") - month_index("cohort_month")).cast("int"))
-    act = j.groupBy("cohort_month", "platform", "months_since_install").agg(
-        F.count_distinct("adid").alias("active_users"),
+    # one row per device and cohort cell; both aggregates below read this
+    # single (reused) exchange instead of joining the installs twice
+    per_device = j.groupBy("cohort_month", "platform", "months_since_install", "adid").agg(
+        F.sum("adjusted_revenue").alias("adjusted_revenue"))
+    act = per_device.groupBy("cohort_month", "platform", "months_since_install").agg(
+        F.count("*").alias("active_users"),
         F.sum("adjusted_revenue").alias("cohort_revenue"))
-    size = j.groupBy("cohort_month", "platform").agg(F.count_distinct("adid").alias("cohort_size"))
+    size = (per_device.select("cohort_month", "platform", "adid").distinct()
+            .groupBy("cohort_month", "platform").agg(F.count("*").alias("cohort_size")))
     return (act.join(size, ["cohort_month", "platform"])
             .select("cohort_month", "platform", "months_since_install", "active_users", "cohort_size",
                     F.round(F.col("active_users") / F.col("cohort_size") * 100, 2).alias("retention_rate"),

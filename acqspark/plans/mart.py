@@ -102,7 +102,13 @@ class Mart:
         plus a distinct instead of the whole metrics plan inside every join."""
         if self.materialize:
             return self.campaign_metrics
-        return self.user_data.select("platform", "campaign_name", "network_name")
+        return self._name_triples
+
+    @cached_property
+    def _name_triples(self) -> DataFrame:
+        # one scan and one (partially aggregated) distinct serve all three
+        # dimensions; the identical subtree is a reused exchange in any plan
+        return self.user_data.select("platform", "campaign_name", "network_name").distinct()
 
     @cached_property
     def dim_campaign(self):
