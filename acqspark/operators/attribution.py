@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import surrogate_key, adjusted_revenue
+from ..session import reliable_checkpoint
 
 KEYS = ["platform", "campaign_name", "network_name"]
 TOUCH_ORDER = ["install_date", "campaign_name", "src_id"]
@@ -60,8 +61,8 @@ def rank_within(df: DataFrame, key: str, order: list[str], hot_threshold: int =
     # the local ranks and the block sizes are computed from the same split.
     blocks = (flagged.filter(F.col("_hot_n").isNotNull())
               .repartitionByRange(n_blocks, key, *order)
-              .withColumn("_blk", F.spark_partition_id())
-              .checkpoint(eager=True))
+              .withColumn("_blk", F.spark_partition_id()))
+    blocks = reliable_checkpoint(blocks)
     local = blocks.withColumn("_local", F.row_number().over(Window.partitionBy(key, "_blk").orderBy(*order)))
     sizes = blocks.groupBy(key, "_blk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)

@@ -64,3 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def reliable_checkpoint(df):
+    """Eager reliable checkpoint into the session's checkpoint folder (never
+    a local checkpoint: a lost executor must not lose the data)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -49,7 +49,8 @@ def merge_into_partitioned(spark: SparkSession, path: str, source: DataFrame, ke
     touched = source.select(partition_col).distinct()
     current = target.join(touched, partition_col, "left_semi")
     keep = current.join(source.select(key), key, "left_anti")
-    merged = keep.unionByName(source.select(*target.columns)).checkpoint(eager=True)
+    from ..session import reliable_checkpoint
+    merged = reliable_checkpoint(keep.unionByName(source.select(*target.columns)))
     write_partitioned(merged, path, partition_col, **kw)
 
 
