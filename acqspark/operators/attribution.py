@@ -32,16 +32,39 @@ LABEL_DECAY = "Time-decay (recent interactions matter)"
 LABEL_LAST = "Last-touch (direct response dominant)"
 
 
+# Expected sample hits of a key sitting exactly at the threshold; keys with at
+# least half of that in the sample are treated as hot.
+HOT_SAMPLE_HITS = 100
+MAX_HOT_KEYS = 200_000
+
+
+def hot_keys(df: DataFrame, key: str, threshold: int, seed: int = 17) -> DataFrame:
+    """Keys that may hold more than ``threshold`` rows, with their exact row
+    counts. Detection reads a sample of the key column (about 100 hits per
+    threshold-sized key), so the common no-skew case costs one column scan,
+    not a shuffle of every key; only candidate rows are counted exactly.
+    At most 2N / threshold keys can qualify, which bounds the result."""
+    fraction = min(1.0, HOT_SAMPLE_HITS / max(threshold, 1))
+    sampled = df.select(key) if fraction >= 1.0 else df.select(key).sample(False, fraction, seed)
+    cand = (sampled.groupBy(key).agg(F.count("*").alias("_hits"))
+            .filter(F.col("_hits") >= threshold * fraction / 2).select(key))
+    return df.join(F.broadcast(cand), key, "left_semi").groupBy(key).agg(F.count("*").alias("_hot_n"))
+
+
 def rank_within(df: DataFrame, key: str, order: list[str], hot_threshold: int = HOT_THRESHOLD,
                 order_col: str = "touchpoint_order", count_col: str = "touchpoint_count",
                 sums: dict | None = None) -> DataFrame:
     """row_number() and count() per ``key`` ordered by ``order`` (which must be
     unique within a key), plus per-key sums of the ``sums`` columns
-    (name -> source column), safe for keys holding a large share of all rows."""
+    (name -> source column), safe for keys holding a large share of all rows.
+    Which keys take the split path affects only speed: both paths rank exactly."""
     sums = sums or {}
-    counts = df.groupBy(key).agg(F.count("*").alias(count_col))
-    hot = counts.filter(F.col(count_col) > hot_threshold)
-    stats = hot.agg(F.count("*").alias("k"), F.sum(count_col).alias("rows")).first()
+    hot = hot_keys(df, key, hot_threshold)
+    stats = hot.agg(F.count("*").alias("k"), F.sum("_hot_n").alias("rows")).first()
+    while stats["k"] and stats["k"] > MAX_HOT_KEYS:  # keep the broadcast list small
+        hot_threshold *= 4
+        hot = hot_keys(df, key, hot_threshold)
+        stats = hot.agg(F.count("*").alias("k"), F.sum("_hot_n").alias("rows")).first()
     w_cold = Window.partitionBy(key).orderBy(*order)
     w_all = Window.partitionBy(key)
     cold_cols = {order_col: F.row_number().over(w_cold), count_col: F.count("*").over(w_all)}
@@ -49,10 +72,9 @@ def rank_within(df: DataFrame, key: str, order: list[str], hot_threshold: int =
     if not stats["k"]:
         return df.withColumns(cold_cols)
 
-    # Route rows by a broadcast of the hot keys (<= N / hot_threshold keys),
-    # before any shuffle on the key.
-    hot_keys = hot.select(key, F.col(count_col).alias("_hot_n"))
-    flagged = df.join(F.broadcast(hot_keys), key, "left")
+    # Route rows by a broadcast of the hot keys (counted above, at most
+    # MAX_HOT_KEYS), before any shuffle on the key.
+    flagged = df.join(F.broadcast(hot), key, "left")
     cold = flagged.filter(F.col("_hot_n").isNull()).drop("_hot_n").withColumns(cold_cols)
 
     n_blocks = max(2, math.ceil(stats["rows"] / hot_threshold))

@@ -38,11 +38,21 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings to an existing session (cluster use)."""
+def configure(spark: SparkSession, initial_partitions: int | None = None,
+              advisory_partition_bytes: str = "128m") -> SparkSession:
+    """Apply the runtime SQL settings to an existing session (cluster use).
+
+    On a cluster, pass ``initial_partitions`` (a few times the total core
+    count): every shuffle starts that wide, so no partition has to hold a
+    large share of a 100 TB shuffle, and AQE coalesces small ones back to
+    about ``advisory_partition_bytes`` at runtime."""
     for k, v in BASE_CONF.items():
         if k.startswith("spark.sql."):
             spark.conf.set(k, v)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory_partition_bytes)
+    if initial_partitions:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(initial_partitions))
+        spark.conf.set("spark.sql.shuffle.partitions", str(initial_partitions))
     ensure_checkpoint_dir(spark)
     return spark
 

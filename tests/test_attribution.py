@@ -93,3 +93,11 @@ def test_attribution_all_equals_per_model_tables(users, spark):
     a = allm[("android", "c2", "n1")]
     assert a["linear_roas"] == pytest.approx(a["linear_revenue"] / 100.0)
     assert allm[("ios", "c1", "n1")]["linear_roas"] == 0.0  # no spend row
+
+
+def test_sampled_hot_key_detection_counts_exactly(spark):
+    n = 20000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("adid"))
+    hot = {r["adid"]: r["_hot_n"] for r in attr.hot_keys(df, "adid", threshold=2000).collect()}
+    assert hot == {"hot": (n + 2) // 3}  # sampled at 5 %, counted exactly
