@@ -39,14 +39,19 @@ def daily_spend(stg_spend: DataFrame, as_of=None, window_days: int | None = None
     return s.groupBy(*DAY_KEYS).agg(F.sum("spend").alias("daily_spend"))
 
 
-def daily_users(stg_users: DataFrame, as_of=None, window_days: int | None = None) -> DataFrame:
+def daily_users(stg_users: DataFrame, as_of=None, window_days: int | None = None,
+                approx_rsd: float | None = None) -> DataFrame:
     """count(distinct adid) and adjusted revenue per install day and campaign.
     One distinct aggregate per groupBy: Spark plans it as two partial
-    aggregations, so a device with many rows is collapsed map-side."""
+    aggregations, so a device with many rows is collapsed map-side.
+    ``approx_rsd`` switches to a HyperLogLog++ sketch (one partial
+    aggregation, fixed memory per group) with that relative error."""
     u = stg_users.filter(in_window("install_date", as_of, window_days)) if window_days is not None else stg_users
+    users = (F.count_distinct("adid") if approx_rsd is None
+             else F.approx_count_distinct("adid", approx_rsd))
     return (u.withColumnRenamed("install_date", "date")
             .groupBy(*DAY_KEYS)
-            .agg(F.count_distinct("adid").alias("daily_users"),
+            .agg(users.alias("daily_users"),
                  F.sum(adjusted_revenue("lower", null_as_zero=True)).alias("daily_revenue")))
 
 

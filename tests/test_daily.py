@@ -62,3 +62,10 @@ def test_dim_date_calendar(spark):
     r = dd.filter(F.col("date") == D(2024, 3, 2)).first()
     assert (r["day_of_week"], r["day_type"], r["season"], r["quarter"], r["week_of_year"]) == \
         ("Saturday", "Weekend", "Spring", 1, 9)
+
+
+def test_approximate_distinct_users_option(inputs):
+    _, u = inputs
+    exact = {r["date"]: r["daily_users"] for r in daily.daily_users(u).collect()}
+    approx = {r["date"]: r["daily_users"] for r in daily.daily_users(u, approx_rsd=0.01).collect()}
+    assert approx == exact  # tiny groups are exact under HLL++
