@@ -172,20 +172,31 @@ def seasonality_wide_stats(dp: DataFrame) -> DataFrame:
     aggregates replace a fan-out of ~27,000 x the seasonal rows. Reported:
     row and side counts, the day and user counters, and the revenue columns
     that are sums (seasonal, monthly)."""
-    t = seasonality_tables(dp)
+    # The five sides' rows are these groups of the daily rows; only the
+    # columns the statistics use are aggregated (no index joins, no lag).
+    seasonal = dp.groupBy("platform", "network_name", "campaign_name", "season").agg(
+        F.count_distinct("date").alias("days_in_season"), F.sum("daily_users").alias("seasonal_users"),
+        F.sum("daily_revenue").alias("seasonal_revenue"))
+    dow = dp.groupBy("platform", "day_of_week").agg(
+        F.count_distinct("date").alias("occurrences"), F.sum("daily_users").alias("total_users"))
+    month = dp.groupBy("platform", "month").agg(
+        F.sum("daily_users").alias("monthly_users"), F.sum("daily_revenue").alias("monthly_revenue"))
+    week = dp.groupBy("platform", "week_of_year").agg(F.count_distinct("date").alias("weeks_tracked"))
+    special = dp.withColumn("special_period", special_period()).groupBy("platform", "special_period").agg(
+        F.sum("daily_users").alias("total_users"))
     parts = {
-        "seasonal": t["seasonal"].groupBy("platform").agg(
+        "seasonal": seasonal.groupBy("platform").agg(
             F.count("*").alias("n_seasonal"), F.sum("seasonal_users").alias("s_seasonal_users"),
             F.sum("days_in_season").alias("s_days_in_season"), F.sum("seasonal_revenue").alias("s_seasonal_revenue")),
-        "dow": t["dow"].groupBy("platform").agg(
+        "dow": dow.groupBy("platform").agg(
             F.count("*").alias("n_dow"), F.sum("total_users").alias("s_dow_users"),
             F.sum("occurrences").alias("s_occurrences")),
-        "month": t["month"].groupBy("platform").agg(
+        "month": month.groupBy("platform").agg(
             F.count("*").alias("n_month"), F.sum("monthly_users").alias("s_monthly_users"),
             F.sum("monthly_revenue").alias("s_monthly_revenue")),
-        "week": t["week"].groupBy("platform").agg(
+        "week": week.groupBy("platform").agg(
             F.count("*").alias("n_week"), F.sum("weeks_tracked").alias("s_weeks_tracked")),
-        "special": t["special"].groupBy("platform").agg(
+        "special": special.groupBy("platform").agg(
             F.count("*").alias("n_special"), F.sum("total_users").alias("s_special_users")),
     }
     j = parts["seasonal"]
