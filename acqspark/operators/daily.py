@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import surrogate_key, safe_ratio, adjusted_revenue
+from ..functions import surrogate_key, safe_ratio, adjusted_revenue, money_sum
 from ..functions.metrics import as_col
 
 DAY_KEYS = ["date", "platform", "network_name", "campaign_name"]
@@ -36,7 +36,7 @@ def daily_spend(stg_spend: DataFrame, as_of=None, window_days: int | None = None
     """sum(spend) per day x platform x network x campaign. The optional
     reprocess window is applied before the aggregate, so it reaches the scan."""
     s = stg_spend.filter(in_window("date", as_of, window_days)) if window_days is not None else stg_spend
-    return s.groupBy(*DAY_KEYS).agg(F.sum("spend").alias("daily_spend"))
+    return s.groupBy(*DAY_KEYS).agg(money_sum("spend").alias("daily_spend"))
 
 
 def daily_users(stg_users: DataFrame, as_of=None, window_days: int | None = None,
@@ -52,7 +52,7 @@ def daily_users(stg_users: DataFrame, as_of=None, window_days: int | None = None
     return (u.withColumnRenamed("install_date", "date")
             .groupBy(*DAY_KEYS)
             .agg(users.alias("daily_users"),
-                 F.sum(adjusted_revenue("lower", null_as_zero=True)).alias("daily_revenue")))
+                 money_sum(adjusted_revenue("lower", null_as_zero=True)).alias("daily_revenue")))
 
 
 def spend_user_full_outer(spend_daily: DataFrame, users_daily: DataFrame) -> DataFrame:
