@@ -23,6 +23,14 @@ def as_col(x) -> Column:
     return F.col(x)
 
 
+def as_date(x) -> Column:
+    """An ``as_of``-style date: a Column as is, a 'YYYY-MM-DD' string or a
+    Python date as a DATE literal."""
+    if isinstance(x, Column):
+        return x
+    return F.lit(x).cast("date")
+
+
 def safe_ratio(num, den, otherwise=0.0) -> Column:
     """``num / den`` when ``den > 0`` else ``otherwise`` (ANSI mode raises on /0)."""
     n, d = as_col(num), as_col(den)

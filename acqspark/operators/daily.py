@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import surrogate_key, safe_ratio, adjusted_revenue, money_sum
-from ..functions.metrics import as_col
+from ..functions.metrics import as_date
 
 DAY_KEYS = ["date", "platform", "network_name", "campaign_name"]
 DAILY_COLS = ["campaign_daily_id", "campaign_id", "network_id", "platform_id", "date_id", "date",
@@ -18,7 +18,7 @@ def in_window(date_col: str, as_of, days: int | None):
     after ``as_of`` in, since the source models assumed nothing lies after today)."""
     if days is None:
         return F.lit(True)
-    a = as_col(as_of)
+    a = as_date(as_of)
     c = F.col(date_col)
     return (c >= F.date_sub(a, days)) & (c <= a)
 

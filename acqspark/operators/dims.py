@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import surrogate_key, day_name, season_of
 from ..functions.dates import WEEKEND
-from ..functions.metrics import as_col
+from ..functions.metrics import as_date
 
 # The calendar starts on this day and runs two years past as_of.
 DATE_SPINE_START = "2024-01-01"
@@ -35,7 +35,7 @@ def dim_platform(metrics: DataFrame) -> DataFrame:
 
 def date_spine(spark: SparkSession, start, end_exclusive) -> DataFrame:
     """One row per day in [start, end_exclusive); bounds may be Columns."""
-    s, e = as_col(start), as_col(end_exclusive)
+    s, e = as_date(start), as_date(end_exclusive)
     return spark.range(1).select(F.explode(F.sequence(s, F.date_sub(e, 1))).alias("date_day"))
 
 
@@ -59,4 +59,4 @@ def dim_date(spark: SparkSession, as_of, start: str = DATE_SPINE_START,
 
 
 def as_of_date(as_of):
-    return as_col(as_of).cast("date")
+    return as_date(as_of).cast("date")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import surrogate_key
-from ..functions.metrics import as_col
+from ..functions.metrics import as_date
 from .daily import in_window
 
 # Accepted-value domains used by checks and tests.
@@ -41,6 +41,19 @@ CHECK_BAD = {
 }
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """UNION ALL by name of many frames, paired as a balanced tree: PySpark
+    analyzes every union call eagerly, so a left-deep chain re-analyzes the
+    growing plan once per part (quadratic); pairing makes it n log n."""
+    parts = list(parts)
+    while len(parts) > 1:
+        nxt = [a.unionByName(b) for a, b in zip(parts[0::2], parts[1::2])]
+        if len(parts) % 2:
+            nxt.append(parts[-1])
+        parts = nxt
+    return parts[0]
+
+
 def _isnull(c):
     return F.count_if(F.col(c).isNull())
 
@@ -123,7 +136,7 @@ def dq_tiers(tiers: DataFrame) -> DataFrame:
 
 
 def dq_date_dim(dim_date: DataFrame, as_of) -> DataFrame:
-    d = dim_date.filter(F.col("date") >= F.add_months(as_col(as_of), -12))
+    d = dim_date.filter(F.col("date") >= F.add_months(as_date(as_of), -12))
     return d.agg(F.count("*").alias("total_dates"), F.min("date").alias("min_date"),
                  F.max("date").alias("max_date"),
                  _isnull("day_of_week").alias("null_day_of_week"), _isnull("season").alias("null_seasons"))
@@ -242,7 +255,7 @@ def _per_model_counts(models: dict[str, DataFrame], test: str) -> DataFrame:
     for model, tests in by_model.items():
         row = models[model].agg(*[agg.alias(c) for c, agg in tests])
         parts.append(_long(model, test, row, [c for c, _ in tests]))
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def test_not_null(models: dict[str, DataFrame]) -> DataFrame:
@@ -266,7 +279,7 @@ def test_relationships(models: dict[str, DataFrame]) -> DataFrame:
         parts.append(orphans.agg(F.count("*").alias("failures")).select(
             F.lit("relationships").alias("test_type"), F.lit(child).alias("model"),
             F.lit(col).alias("column_name"), "failures"))
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -280,7 +293,7 @@ def test_unique(models: dict[str, DataFrame]) -> DataFrame:
         parts.append(duplicate_keys(models[model], key).agg(F.count("*").alias("failures")).select(
             F.lit("unique").alias("test_type"), F.lit(model).alias("model"), F.lit(key).alias("column_name"),
             "failures"))
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 # The aggregate tests, their severity and their bad-row counters.
@@ -314,7 +327,7 @@ def test_report(column_results: DataFrame, checks: dict[str, DataFrame]) -> Data
         total = reduce(lambda a, b: a + b, [F.col(c) for c in bad]) if bad else F.lit(0)
         parts.append(checks[check].select(F.lit(name).alias("test_name"), F.lit(severity).alias("severity"),
                                           total.cast("bigint").alias("failures")))
-    r = reduce(DataFrame.unionByName, parts)
+    r = union_all(parts)
     status = (F.when(F.col("failures") == 0, "pass")
               .when(F.col("severity") == "error", "fail").otherwise("warn"))
     return r.withColumn("status", status)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import surrogate_key, money_key
-from ..functions.metrics import as_col
+from ..functions.metrics import as_date
 
 SPEND_COLS = ["date", "platform", "network_name", "campaign_name", "spend"]
 USER_COLS = ["adid", "platform", "install_date", "campaign_name", "network_name",
@@ -69,7 +69,7 @@ def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
 
 
 def _incremental(staged: DataFrame, key: str, date_col: str, cut, lookback_days: int) -> DataFrame:
-    previous = staged.filter(F.col(date_col) <= as_col(cut))
+    previous = staged.filter(F.col(date_col) <= as_date(cut))
     target = dedupe_latest(previous, key)
     # The key contains the date, so deduplication keeps every date: the mark
     # of the raw previous rows equals the mark of the deduplicated target.

@@ -103,8 +103,8 @@ def _wide_stats(m: Mart) -> DataFrame:
 
 def _column_results(m: Mart) -> DataFrame:
     models = m.models
-    return (quality.test_not_null(models).unionByName(quality.test_accepted_values(models))
-            .unionByName(quality.test_relationships(models)).unionByName(quality.test_unique(models)))
+    return quality.union_all([quality.test_not_null(models), quality.test_accepted_values(models),
+                              quality.test_relationships(models), quality.test_unique(models)])
 
 
 def _high_roas_prob(m: Mart) -> DataFrame:

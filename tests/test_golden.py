@@ -77,3 +77,17 @@ def test_budget_plan(seed):
         assert r["roi_improvement_percent"] == pytest.approx(g[11], abs=1e-9)
         # property: the spend change is the difference of the two spends
         assert r["recommended_spend"] - r["total_spend"] == pytest.approx(r["spend_change"], abs=1e-6)
+
+
+def test_summary_growth_against_previous_snapshot(seed, spark):
+    from pyspark.sql import functions as F
+    daily = spark.createDataFrame([], "campaign_id string, network_id string, platform_id string, date date, "
+                                      "daily_revenue double, daily_users bigint, daily_spend double, "
+                                      "daily_roas double, daily_arpu double")
+    first = performance.campaign_summary(seed, daily, None, None, None, "2024-04-30")
+    assert {r["revenue_growth_rate"] for r in first.collect()} == {0.0}
+    prev = seed.withColumn("total_revenue", F.col("total_revenue") / 2)
+    grown = performance.campaign_summary(seed, daily, None, None, None, "2024-04-30", previous=prev)
+    for r in grown.collect():
+        assert r["revenue_growth_rate"] == pytest.approx(1.0)
+        assert r["last_30d_users"] == 0 and r["avg_30d_roas"] is None
