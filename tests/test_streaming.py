@@ -26,3 +26,22 @@ def test_spend_stream_merges_batches_like_a_full_rebuild(spark, tmp_path):
     want = staging.stg_spend(first.unionByName(second)).dropDuplicates(["spend_id"])
     assert sorted(got.select("spend_id").collect()) == sorted(want.select("spend_id").collect())
     assert got.agg(F.sum("spend")).first()[0] == 6.0
+
+
+def test_refresh_daily_recomputes_only_touched_days(spark, tmp_path):
+    from acqspark.plans.mart import Mart
+    from acqspark.sources import sinks
+    from acqspark.streaming import refresh_daily
+    from conftest import SF_SMALL
+    m = Mart.from_tables(spark, SF_SMALL, as_of=D(2024, 7, 28))
+    path = str(tmp_path / "daily")
+    # a stale table: the daily fact with one day's revenue zeroed out
+    day = D(2024, 3, 1)
+    stale = m.campaign_daily.withColumn(
+        "daily_revenue", F.when(F.col("date") == day, F.lit(0.0)).otherwise(F.col("daily_revenue")))
+    sinks.write_partitioned(stale, path)
+    touched = spark.createDataFrame([(day,)], "date date")
+    refresh_daily(spark, m.stg_spend, m.stg_user_data, m.dims, touched, path)
+    got = spark.read.parquet(path).select("campaign_daily_id", "daily_revenue")
+    want = m.campaign_daily.select("campaign_daily_id", "daily_revenue")
+    assert sorted(got.collect()) == sorted(want.collect())
