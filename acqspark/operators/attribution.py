@@ -7,7 +7,7 @@ Skew: a window partitioned by device puts each device in one task. Devices
 with more than ``hot_threshold`` rows are ranked differently: their rows are
 range-partitioned on (device, order key), so one device spans many tasks,
 ranked locally, and shifted by the sizes of the preceding blocks. The hot
-device list is at most N / hot_threshold keys, which bounds its broadcast.
+device list is counted before it is broadcast and kept under MAX_HOT_KEYS.
 """
 
 from __future__ import annotations
@@ -38,17 +38,28 @@ HOT_SAMPLE_HITS = 100
 MAX_HOT_KEYS = 200_000
 
 
-def hot_keys(df: DataFrame, key: str, threshold: int, seed: int = 17) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, threshold: int, seed: int = 17, max_keys: int = MAX_HOT_KEYS):
     """Keys that may hold more than ``threshold`` rows, with their exact row
-    counts. Detection reads a sample of the key column (about 100 hits per
-    threshold-sized key), so the common no-skew case costs one column scan,
-    not a shuffle of every key; only candidate rows are counted exactly.
-    At most 2N / threshold keys can qualify, which bounds the result."""
-    fraction = min(1.0, HOT_SAMPLE_HITS / max(threshold, 1))
-    sampled = df.select(key) if fraction >= 1.0 else df.select(key).sample(False, fraction, seed)
-    cand = (sampled.groupBy(key).agg(F.count("*").alias("_hits"))
-            .filter(F.col("_hits") >= threshold * fraction / 2).select(key))
-    return df.join(F.broadcast(cand), key, "left_semi").groupBy(key).agg(F.count("*").alias("_hot_n"))
+    counts, as ``(DataFrame(key, _hot_n) or None, threshold used)``.
+
+    Detection reads a sample of the key column (about 100 hits for a key of
+    ``threshold`` rows), so the common no-skew case costs one column scan and
+    no shuffle of every key. The candidate list is counted before it is
+    broadcast; if it is longer than ``max_keys`` the threshold is raised.
+    Only the candidates' rows are then counted exactly."""
+    while True:
+        fraction = min(1.0, HOT_SAMPLE_HITS / max(threshold, 1))
+        sampled = df.select(key) if fraction >= 1.0 else df.select(key).sample(False, fraction, seed)
+        cand = (sampled.groupBy(key).agg(F.count("*").alias("_hits"))
+                .filter(F.col("_hits") >= threshold * fraction / 2).select(key))
+        n = cand.count()
+        if n <= max_keys:
+            break
+        threshold *= 4
+    if n == 0:
+        return None, threshold
+    hot = df.join(F.broadcast(cand), key, "left_semi").groupBy(key).agg(F.count("*").alias("_hot_n"))
+    return hot, threshold
 
 
 def rank_within(df: DataFrame, key: str, order: list[str], hot_threshold: int = HOT_THRESHOLD,
@@ -59,21 +70,17 @@ def rank_within(df: DataFrame, key: str, order: list[str], hot_threshold: int =
     (name -> source column), safe for keys holding a large share of all rows.
     Which keys take the split path affects only speed: both paths rank exactly."""
     sums = sums or {}
-    hot = hot_keys(df, key, hot_threshold)
-    stats = hot.agg(F.count("*").alias("k"), F.sum("_hot_n").alias("rows")).first()
-    while stats["k"] and stats["k"] > MAX_HOT_KEYS:  # keep the broadcast list small
-        hot_threshold *= 4
-        hot = hot_keys(df, key, hot_threshold)
-        stats = hot.agg(F.count("*").alias("k"), F.sum("_hot_n").alias("rows")).first()
+    hot, hot_threshold = hot_keys(df, key, hot_threshold)
     w_cold = Window.partitionBy(key).orderBy(*order)
     w_all = Window.partitionBy(key)
     cold_cols = {order_col: F.row_number().over(w_cold), count_col: F.count("*").over(w_all)}
     cold_cols.update({name: F.sum(src).over(w_all) for name, src in sums.items()})
-    if not stats["k"]:
+    if hot is None:
         return df.withColumns(cold_cols)
+    stats = hot.agg(F.count("*").alias("k"), F.sum("_hot_n").alias("rows")).first()
 
-    # Route rows by a broadcast of the hot keys (counted above, at most
-    # MAX_HOT_KEYS), before any shuffle on the key.
+    # Route rows by a broadcast of the hot keys (counted, at most MAX_HOT_KEYS),
+    # before any shuffle on the key.
     flagged = df.join(F.broadcast(hot), key, "left")
     cold = flagged.filter(F.col("_hot_n").isNull()).drop("_hot_n").withColumns(cold_cols)
 

@@ -19,11 +19,6 @@ BASE_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # a long-lived driver runs thousands of small jobs; keep less status history
-    "spark.ui.retainedJobs": "100",
-    "spark.ui.retainedStages": "200",
-    "spark.ui.retainedTasks": "10000",
-    "spark.sql.ui.retainedExecutions": "50",
 }
 
 

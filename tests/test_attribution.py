@@ -99,5 +99,6 @@ def test_sampled_hot_key_detection_counts_exactly(spark):
     n = 20000
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("adid"))
-    hot = {r["adid"]: r["_hot_n"] for r in attr.hot_keys(df, "adid", threshold=2000).collect()}
+    found, _ = attr.hot_keys(df, "adid", threshold=2000)
+    hot = {r["adid"]: r["_hot_n"] for r in found.collect()}
     assert hot == {"hot": (n + 2) // 3}  # sampled at 5 %, counted exactly
