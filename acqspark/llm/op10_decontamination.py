@@ -4,9 +4,9 @@ Windows as long as a benchmark item slide over each text; their SimHash
 fingerprints are looked up among the items of that length through a
 multi-index of blocks (fingerprints within the radius differ little in at
 least one block, so none is missed); candidates are verified by the exact
-weighted similarity of their shingles. Windows that share no shingle with any
-item have similarity 0 and get no fingerprint. Items are worked on in blocks
-of bounded size."""
+weighted similarity of their shingles. Windows that
+hold too few shingles of all items together to be similar to any get no
+fingerprint. Items are worked on in blocks of bounded size."""
 
 from __future__ import annotations
 
@@ -27,6 +27,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 8, 24
 #: Items whose index is broadcast at a time.
 ITEMS = 4_096
+#: Shingles of a text that are worked on at a time.
+STRETCH = 1 << 15
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _COUNT = _BITS.sum(axis=1).astype(np.uint8)
@@ -37,11 +39,16 @@ def signs(values: np.ndarray) -> np.ndarray:
     return (np.unpackbits(mix(values).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) << 1) - 1
 
 
-def fingerprints(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """The 8 bytes of the SimHash of each window values[start:start + size];
-    a shingle weighs as often as it occurs."""
+def sign_sums(values: np.ndarray) -> np.ndarray:
+    """Running sums of the signs; a window's sums are a difference of two rows."""
     sums = np.zeros((len(values) + 1, 64), np.int32)
     np.cumsum(signs(values), axis=0, out=sums[1:])
+    return sums
+
+
+def fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The 8 bytes of the SimHash of each window of `size` shingles; a shingle
+    weighs as often as it occurs."""
     return np.packbits(sums[starts + size] - sums[starts] > 0, axis=1)
 
 
@@ -77,7 +84,7 @@ class ItemIndex:
         near = _COUNT[np.arange(256)[:, None] ^ np.arange(256)] <= RADIUS // BLOCKS
         for size in sorted({len(v) for _, v in kept}):
             members = np.array([k for k, (_, v) in enumerate(kept) if len(v) == size])
-            prints = np.concatenate([fingerprints(kept[k][1], np.zeros(1, np.int64), size) for k in members])
+            prints = np.concatenate([fingerprints(sign_sums(kept[k][1]), np.zeros(1, np.int64), size) for k in members])
             # table[block, byte] marks the items whose byte there is near enough
             table = np.stack([near[:, prints[:, b]] for b in range(BLOCKS)])
             self.sizes[size] = (members, prints, table)
@@ -89,20 +96,31 @@ class ItemIndex:
 
     def matches(self, values: np.ndarray, hits: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """Items found in one text's shingles: item -> (similarity, first
-        shingle, shingles) of the best window (ties: the first)."""
+        shingle, shingles) of the best window (ties: the first). The text is
+        gone through in stretches; a window belongs to the one it starts in."""
         best: dict[int, tuple[float, int, int]] = {}
+        reach = max(self.sizes)
+        base = max(0, int(hits[0]) - reach + 1)
+        while base <= hits[-1]:
+            near = hits[np.searchsorted(hits, base):np.searchsorted(hits, base + STRETCH + reach)]
+            if len(near):
+                self._stretch(values[base:base + STRETCH + reach], near - base, base, len(values), best)
+            base += STRETCH
+        return best
+
+    def _stretch(self, values: np.ndarray, hits: np.ndarray, base: int, total: int, best: dict) -> None:
+        sums = sign_sums(values)
+        inside = np.zeros(len(values) + 1, np.int64)
+        inside[hits + 1] = 1
+        np.cumsum(inside, out=inside)
         for size, (members, prints, table) in self.sizes.items():
-            width = min(size, len(values))
-            if width < SIMILARITY * size:
-                continue
-            touched = np.zeros(len(values) - width + 2, np.int64)  # windows that hold a hit
-            np.add.at(touched, np.maximum(hits - width + 1, 0), 1)
-            np.add.at(touched, np.minimum(hits, len(values) - width) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(touched[:-1]) > 0)
+            width = min(size, total)
+            shared = SIMILARITY * (size + width) / (1 + SIMILARITY)  # what similar bags share at least
+            starts = np.flatnonzero(inside[width:] - inside[:-width] >= shared - 1e-9)
+            starts = starts[starts < STRETCH]
             for lo in range(0, len(starts), 8_192):
                 some = starts[lo:lo + 8_192]
-                base, top = int(some[0]), int(some[-1]) + width
-                found = fingerprints(values[base:top], some - base, width)
+                found = fingerprints(sums, some, width)
                 candidate = np.zeros((len(some), len(members)), bool)
                 for b in range(BLOCKS):
                     candidate |= table[b, found[:, b]]
@@ -111,8 +129,7 @@ class ItemIndex:
                 for s, k in zip(some[w[close]].tolist(), members[m[close]].tolist()):
                     sim = weighted_similarity(Counter(values[s:s + width].tolist()), self.bags[k])
                     if sim >= SIMILARITY and sim > best.get(k, (0.0,))[0]:
-                        best[k] = (sim, s, width)
-        return best
+                        best[k] = (sim, base + s, width)
 
 
 def _item_blocks(benchmark: DataFrame):
