@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, new_folder, pieces, staged
 from .filesystem import create, open_read
-from .spanmemo import LibraryEncoder
+from .spanmemo import LibraryEncoder, worker_encoder
 
 MAGIC = b"LLMIDS1\n"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
@@ -33,11 +33,13 @@ LEVEL = 3
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
-    """A dictionary from the serialized ids of SAMPLE_DOCS texts (the first by
-    a hash of the id, SAMPLE_CHARS characters each); few samples make a raw
-    dictionary, none an empty one."""
-    rows = (docs.where(F.length("text") > 0).select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-            .orderBy("h", "text").limit(SAMPLE_DOCS).collect())
+    """A dictionary from the serialized ids of about SAMPLE_DOCS texts (chosen
+    by a hash, SAMPLE_CHARS characters each, never more than twice as many);
+    few samples make a raw dictionary, none an empty one."""
+    total = docs.count()
+    share = F.lit(int(min(1.0, SAMPLE_DOCS / max(total, 1)) * (1 << 30)))
+    rows = (docs.where((F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 30)) < share) & (F.length("text") > 0))
+            .select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_DOCS).collect())
     encoder = LibraryEncoder(tokenizer_path, keeps_space=False)
     width = id_width(encoder.tok.get_vocab_size())
     samples = []
@@ -122,7 +124,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     def write(batches):
         from pyspark import TaskContext
 
-        encoder = LibraryEncoder(tokenizer_path, keeps_space=False)
+        encoder = worker_encoder(tokenizer_path, False)
         width = id_width(max(encoder.tok.get_vocab_size(), end_id + 1))
 
         def encoded():

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -15,7 +16,8 @@ import numpy as np
 from .common import ragged
 from .spans import BYTES, hash_ranges, owner, words
 
-MEMO_SPANS = 1_500_000
+#: Bounds of a memo; a full one starts anew.
+MEMO_SPANS = 2_500_000
 MEMO_IDS = 12_000_000
 
 
@@ -50,10 +52,8 @@ class SpanMemo:
             ids, counts = self.encode_spans([raw[s:e] for s, e in zip(start[f].tolist(), end[f].tolist())])
             at = len(self.ids) + np.cumsum(counts) - counts
             self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-            keys = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys = keys[order]
-            self.at, self.n = np.concatenate([self.at, at])[order], np.concatenate([self.n, counts])[order]
+            place = np.searchsorted(self.keys, distinct[new])
+            self.keys, self.at, self.n = (np.insert(old, place, more) for old, more in ((self.keys, distinct[new]), (self.at, at), (self.n, counts)))
         slot = self._slots(distinct)[inverse]
         return self.ids[ragged(self.at[slot], self.n[slot])], self.n[slot]
 
@@ -143,3 +143,9 @@ class LibraryEncoder:
             lo += c
             counts[d] = len(parts[-1])
         return np.concatenate(parts), counts
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, keeps_space: bool) -> LibraryEncoder:
+    """The encoder of this Python worker: its memo serves the next tasks too."""
+    return LibraryEncoder(path, keeps_space)
