@@ -8,7 +8,8 @@ give buckets; pairs are confirmed on the full sets.
 Documents with equal sets are one class. A bucket isn't expanded into pairs:
 its members are compared with its hub (the member that meets the most others),
 what is linked is contracted, and only members that are then still in
-different components are compared with each other, so no link is lost."""
+different components, and can be similar by what they share with the hub, are
+compared with each other, so no link is lost."""
 
 from __future__ import annotations
 
@@ -132,33 +133,59 @@ def similar(shared: Column, a: Column, b: Column) -> Column:
     return 100 * shared >= 80 * (a + b - shared)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) with the sizes nu, nv of their full sets and how many
+    shingles both have."""
     left = sets.select(F.col("set_id").alias("u"), F.col("hashes").alias("hu"))
     right = sets.select(F.col("set_id").alias("v"), F.col("hashes").alias("hv"))
-    shared = F.size(F.array_intersect("hu", "hv"))
-    return staged(pairs.select("u", "v").join(right, "v").join(left, "u").where(similar(shared, F.size("hu"), F.size("hv"))).select("u", "v"), "links")
+    return staged(pairs.select("u", "v").join(right, "v").join(left, "u")
+                  .select("u", "v", F.size("hu").alias("nu"), F.size("hv").alias("nv"), F.size(F.array_intersect("hu", "hv")).alias("shared")), "compared")
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's hub; members: band, set_id,
-    n_shingles. Pairs of sizes too far apart to be similar are left out."""
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where(similar(F.col("shared"), F.col("nu"), F.col("nv"))).select("u", "v")
+
+
+def _with_hubs(members: DataFrame) -> DataFrame:
+    """The members (band, set_id, n_shingles) with their bucket's hub."""
     buckets = staged(members.groupBy("band").agg(F.count("*").alias("size")), "bucket-sizes")
     degree = staged(members.join(buckets, "band").groupBy("set_id").agg(F.sum("size").alias("degree")), "degrees")
     hubs = (members.join(degree, "set_id").groupBy("band").agg(F.max(F.struct("degree", "set_id", "n_shingles")).alias("hub")))
-    return _sized(members.join(staged(hubs, "hubs"), "band")
-                  .select(F.col("hub.set_id").alias("u"), F.col("hub.n_shingles").alias("nu"), F.col("set_id").alias("v"), F.col("n_shingles").alias("nv")))
+    return staged(members.join(staged(hubs, "hubs"), "band").select("band", "set_id", "n_shingles", F.col("hub.set_id").alias("hub"), F.col("hub.n_shingles").alias("n_hub")), "hubbed")
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("u") != F.col("v")) & (100 * F.least("nu", "nv") >= 80 * F.greatest("nu", "nv"))).select("u", "v").distinct()
 
 
-def _split_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with `root`."""
-    rooted = staged(members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "rooted")
+def _split_members(hubbed: DataFrame, roots: DataFrame, compared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component, with `root`, and
+    at most how many shingles `inside` their hub's set and how many `outside`
+    of it another member can have too: shingles that only one of the members
+    has can't be shared."""
+    rooted = staged(hubbed.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "rooted")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("band")
-    return staged(rooted.join(staged(mixed, "mixed"), "band", "left_semi"), "split")
+    split = rooted.join(staged(mixed, "mixed"), "band", "left_semi")
+    split = split.join(compared.select(F.col("u").alias("hub"), F.col("v").alias("set_id"), "shared"), ["hub", "set_id"], "left")
+    split = staged(split, "split-members")
+    held = sets.join(split.select("set_id").distinct(), "set_id", "left_semi").select("set_id", F.explode("hashes").alias("hash"))
+    lone = held.groupBy("hash").agg(F.count("*").alias("n"), F.min("set_id").alias("set_id")).where("n = 1").groupBy("set_id").agg(F.count("*").alias("lone"))
+    split = split.join(staged(lone, "lone-shingles"), "set_id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    own = F.col("set_id") == F.col("hub")
+    return staged(split.withColumn("inside", F.when(own, F.col("n_shingles")).otherwise(F.coalesce("shared", "n_shingles")).cast("long"))
+                  .withColumn("outside", F.when(own, F.lit(0)).otherwise(F.coalesce(F.col("n_shingles") - F.col("shared"), "n_shingles") - F.col("lone")).cast("long"))
+                  .select("band", "set_id", "root", "n_shingles", "inside", "outside"), "split")
+
+
+def _rest_pairs(split: DataFrame) -> DataFrame:
+    """Pairs of one bucket in different components that can be similar: two
+    sets share no more than the lesser part inside the hub's set and the lesser
+    part outside of it, which rules most pairs out without their sets."""
+    a, b = (split.select("band", F.col("set_id").alias(s), F.col("root").alias(f"r{s}"), F.col("n_shingles").alias(f"n{s}"),
+                         F.col("inside").alias(f"i{s}"), F.col("outside").alias(f"o{s}")) for s in "uv")
+    most = F.least("iu", "iv") + F.greatest(F.least("ou", "ov"), F.lit(0))
+    most = F.least(most, F.col("nu"), F.col("nv"))
+    return _sized(a.join(b, "band").where((F.col("ru") < F.col("rv")) & similar(most, F.col("nu"), F.col("nv"))))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
@@ -179,11 +206,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
     members = staged(banded.join(shared, "band", "left_semi"), "members")
     wanted = classes.join(members.select("set_id").distinct(), "set_id", "left_semi")
     sets = _full_sets(docs, wanted, shingle_words)
-    roots = staged(components(_confirmed(_hub_pairs(members), sets)), "roots")
-    split = _split_members(members, roots)
-    a, b = (split.select("band", F.col("set_id").alias(s), F.col("root").alias(f"r{s}"), F.col("n_shingles").alias(f"n{s}")) for s in "uv")
-    rest = _sized(a.join(b, "band").where("ru < rv"))
-    links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_confirmed(rest, sets))
+    hubbed = _with_hubs(members)
+    compared = _compared(_sized(hubbed.select(F.col("hub").alias("u"), F.col("n_hub").alias("nu"), F.col("set_id").alias("v"), F.col("n_shingles").alias("nv"))), sets)
+    roots = staged(components(_links(compared)), "roots")
+    rest = _compared(_rest_pairs(_split_members(hubbed, roots, compared, sets)), sets)
+    links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_links(rest))
     roots = staged(components(links), "components")
     grouped = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "id", F.coalesce("root", "set_id").alias("root"))
     grouped = staged(grouped, "grouped")
