@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, new_folder, pieces
+from .common import batch, new_folder, pieces, staged
 from .lexicon import Lexicon, build, save
 from .spanmemo import SpanMemo, word_spans
 from .spans import hash_ranges, owner
 from .wordbpe import WordBpe
 
-#: Words in the lexicon (a bound on the driver's list), and bytes of the
+#: Most words in the lexicon (a bound on the driver's list), and bytes of the
 #: longest word that may be one.
 LEXICON_WORDS, LEXICON_BYTES = 50_000, 64
 
@@ -42,13 +42,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame) -> list[bytes]:
+    """The words that occur at least so often that there are LEXICON_WORDS of
+    them at most (the limit is found on eighths of powers of two)."""
+    counts = staged(word_counts(docs).withColumn("level", F.floor(F.log2("n") * 8)), "word-counts")
+    levels = counts.groupBy("level").agg(F.count("*").alias("words")).collect()
+    least, total = None, 0
+    for r in sorted(levels, reverse=True):
+        total += r.words
+        if total > LEXICON_WORDS:
+            break
+        least = r.level
+    return [] if least is None else sorted(bytes(r.word) for r in counts.where(F.col("level") >= least).select("word").collect())
+
+
 def build_lexicon(docs: DataFrame, tokenizer_path: str) -> str:
-    """Compiles the LEXICON_WORDS most frequent words (ties: by bytes) into a
-    file in the shared folder."""
-    rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(LEXICON_WORDS).collect()
+    """Compiles the frequent words into a file in the shared folder."""
     bpe = WordBpe(tokenizer_path)
-    words = sorted(bytes(r.word) for r in rows)
-    return save(new_folder(docs.sparkSession, "lexicon"), build([(w, bpe.encode(w)) for w in words]))
+    return save(new_folder(docs.sparkSession, "lexicon"), build([(w, bpe.encode(w)) for w in frequent_words(docs)]))
 
 
 class Encoder:
@@ -62,7 +73,7 @@ class Encoder:
     def _spans(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ranks = self.lexicon.ranks(spans)
         known = np.flatnonzero(ranks >= 0)
-        ids, n = self.lexicon.take(ranks[known])
+        ids, n = self.lexicon.take(ranks[known]) if len(known) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         stops = np.cumsum(n)
         out: list = [None] * len(spans)
         for i, lo, hi in zip(known.tolist(), (stops - n).tolist(), stops.tolist()):
