@@ -9,7 +9,7 @@ from ..functions import surrogate_key, day_name, season_of
 from ..functions.dates import WEEKEND
 from ..functions.metrics import as_date
 
-# The calendar starts on this day and runs two years past as_of.
+# The calendar starts on this day at the latest and runs two years past as_of.
 DATE_SPINE_START = "2024-01-01"
 DATE_SPINE_YEARS = 2
 
@@ -39,9 +39,11 @@ def date_spine(spark: SparkSession, start, end_exclusive) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(s, F.date_sub(e, 1))).alias("date_day"))
 
 
-def dim_date(spark: SparkSession, as_of, start: str = DATE_SPINE_START,
+def dim_date(spark: SparkSession, as_of, start=DATE_SPINE_START,
              years: int = DATE_SPINE_YEARS) -> DataFrame:
-    spine = date_spine(spark, F.lit(start).cast("date"), F.add_months(as_of_date(as_of), 12 * years))
+    """``start``: a day or a Column; the mart passes the first day of its
+    inputs where that is earlier, so that no fact row lies before the spine."""
+    spine = date_spine(spark, start, F.add_months(as_of_date(as_of), 12 * years))
     d = F.col("date_day")
     dow = day_name(d)
     return spine.select(

@@ -333,11 +333,10 @@ def test_report(column_results: DataFrame, checks: dict[str, DataFrame]) -> Data
     return r.withColumn("status", status)
 
 
-def store_failures(violations: DataFrame, order_by: list[str], limit: int = 1000) -> DataFrame:
-    """Failing rows kept for inspection, capped at ``limit`` (the configured
-    store-failures limit). Ordered by a unique key so the kept rows are
-    deterministic; Spark plans this as a distributed top-k."""
-    return violations.orderBy(*order_by).limit(limit)
+def store_failures(violations: DataFrame, order_by: list[str], limit: int | None = None) -> DataFrame:
+    """Failing rows kept for inspection: all of them, or the first ``limit`` by
+    a unique key (a distributed top-k) where a report asks for so many."""
+    return violations if limit is None else violations.orderBy(*order_by).limit(limit)
 
 
 def unique_violations(df: DataFrame, key: str) -> DataFrame:

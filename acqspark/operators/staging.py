@@ -49,7 +49,7 @@ def after_high_water(source: DataFrame, target: DataFrame, col: str, lookback_da
     mark = high_water_mark(target, col)
     if lookback_days:
         mark = F.date_sub(mark, lookback_days)
-    return source.filter(F.coalesce(F.col(col) > mark, F.lit(True)))
+    return source.filter((F.col(col) > mark) | mark.isNull())
 
 
 def dedupe_latest(df: DataFrame, key: str, order_col: str = "src_id") -> DataFrame:
@@ -68,20 +68,23 @@ def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return keep.unionByName(source)
 
 
-def _incremental(staged: DataFrame, key: str, date_col: str, cut, lookback_days: int) -> DataFrame:
+def _incremental(staged: DataFrame, date_col: str, cut, lookback_days: int) -> DataFrame:
+    """The previous build plus the rows after its high-water mark. The
+    surrogate key isn't unique per source row, so nothing is deduplicated by
+    it; with ``lookback_days`` the re-read days replace what was built."""
     previous = staged.filter(F.col(date_col) <= as_date(cut))
-    target = dedupe_latest(previous, key)
-    # The key contains the date, so deduplication keeps every date: the mark
-    # of the raw previous rows equals the mark of the deduplicated target.
     batch = after_high_water(staged, previous, date_col, lookback_days)
-    return upsert(target, dedupe_latest(batch, key), key)
+    if lookback_days:
+        kept_until = F.date_sub(high_water_mark(previous, date_col), lookback_days)
+        previous = previous.filter(F.col(date_col) <= kept_until)
+    return previous.unionByName(batch)
 
 
 def incremental_stg_spend(spend: DataFrame, cut, lookback_days: int = 0) -> DataFrame:
     """State of stg_spend after an incremental run: the previous build holds the
-    rows up to ``cut``; the run loads rows after its high-water mark and merges."""
-    return _incremental(stg_spend(spend), "spend_id", "date", cut, lookback_days)
+    rows up to ``cut``; the run loads rows after its high-water mark and appends them."""
+    return _incremental(stg_spend(spend), "date", cut, lookback_days)
 
 
 def incremental_stg_user_data(user_data: DataFrame, cut, lookback_days: int = 0) -> DataFrame:
-    return _incremental(stg_user_data(user_data), "user_id", "install_date", cut, lookback_days)
+    return _incremental(stg_user_data(user_data), "install_date", cut, lookback_days)

@@ -15,6 +15,11 @@ from ..operators import (staging, dims, daily, kpis, performance, budget, attrib
                          quality, lineage, reports, incremental)
 
 
+def _last_day(user_data: DataFrame, spend: DataFrame) -> DataFrame:
+    days = spend.agg(F.max("date").alias("d")).unionByName(user_data.agg(F.max("install_date").alias("d")))
+    return days.agg(F.max("d"))
+
+
 class Mart:
     def __init__(self, spark: SparkSession, user_data: DataFrame, spend: DataFrame,
                  buckets: DataFrame | None = None, as_of=None,
@@ -24,9 +29,9 @@ class Mart:
         self.user_data = user_data
         self.spend = spend
         self.buckets = buckets if buckets is not None else cv_bucket_table(spark)
-        # Default "today": the last spend day, as a scalar subquery so the
+        # Default "today": the last day of both inputs, as a scalar subquery so the
         # plan stays lazy and follows the data.
-        self.as_of = as_of if as_of is not None else spend.agg(F.max("date")).scalar()
+        self.as_of = as_of if as_of is not None else _last_day(user_data, spend).scalar()
         self.hot_threshold = hot_threshold
         self._run_id = uuid.uuid4().hex[:12]
         self._written: list[str] = []
@@ -52,7 +57,7 @@ class Mart:
         if not hasattr(self, "_materialized"):
             as_of = self.as_of
             if not isinstance(as_of, __import__("datetime").date):
-                as_of = self.spend.agg(F.max("date")).first()[0]
+                as_of = _last_day(self.user_data, self.spend).first()[0]
             self._materialized = Mart(self.spark, self.user_data, self.spend, self.buckets, as_of,
                                       self.hot_threshold, materialize=True)
         return self._materialized
@@ -124,7 +129,9 @@ class Mart:
 
     @cached_property
     def dim_date(self):
-        return self._keep(dims.dim_date(self.spark, self.as_of))
+        days = self.spend.agg(F.min("date").alias("d")).unionByName(self.user_data.agg(F.min("install_date").alias("d")))
+        first = F.least(F.lit(dims.DATE_SPINE_START).cast("date"), days.agg(F.min("d")).scalar())
+        return self._keep(dims.dim_date(self.spark, self.as_of, first))
 
     @property
     def dims(self) -> dict:

@@ -15,6 +15,12 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "acqspark", *parts])
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder exists in whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Full rebuild (table materialization)."""
     df.write.mode("overwrite").parquet(path)
@@ -41,15 +47,15 @@ def merge_into_partitioned(spark: SparkSession, path: str, source: DataFrame, ke
     partitions the source touches are read (partition pruning through the
     semi join), merged, cut from their lineage by a reliable checkpoint in
     the cluster's checkpoint folder, and overwritten dynamically."""
-    try:
-        target = spark.read.parquet(path)
-    except Exception:  # first load: the table does not exist yet
+    from ..session import reliable_checkpoint
+    source = reliable_checkpoint(source)  # evaluated once: its days, keys and rows agree
+    if not table_exists(spark, path):
         write_partitioned(source, path, partition_col, **kw)
         return
+    target = spark.read.parquet(path)  # an unreadable table is an error, not a first load
     touched = source.select(partition_col).distinct()
     current = target.join(touched, partition_col, "left_semi")
     keep = current.join(source.select(key), key, "left_anti")
-    from ..session import reliable_checkpoint
     merged = reliable_checkpoint(keep.unionByName(source.select(*target.columns)))
     write_partitioned(merged, path, partition_col, **kw)
 
@@ -66,5 +72,5 @@ def with_audit(df: DataFrame, as_of_ts) -> DataFrame:
 
 
 def store_failures(violations: DataFrame, path: str) -> None:
-    """Persist failing test rows (already capped by the caller)."""
+    """Persist failing test rows."""
     violations.write.mode("overwrite").parquet(path)

@@ -1,13 +1,11 @@
 """Streaming ingestion of spend lines and installs.
 
-The batch models load rows after a high-water mark and MERGE them by key;
-a row arriving late for an old day is dropped by the strict ``>`` mark. As a
-stream the same policy is explicit: the event day is the event time, a
-watermark bounds how late a row may arrive (7 days, the daily fact's
-reprocess window), duplicates of a key inside the watermark are dropped with
-bounded state, and each micro-batch is MERGEd into the date-partitioned
-staging table. ``refresh_daily`` then recomputes only the days a batch
-touched and MERGEs them into the daily fact.
+Every row that arrives is kept, however late: there is no watermark and no
+stateful deduplication. Rows with a source row id (``src_id``) are MERGEd on
+it into the date-partitioned staging table, so a re-delivered row is harmless
+and a restated one replaces what it restates (a row's day is taken as fixed).
+Rows without one are appended, each micro-batch once. ``refresh_daily`` then
+recomputes the days a batch touched and overwrites them in the daily fact.
 """
 
 from __future__ import annotations
@@ -16,44 +14,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import staging, daily
+from ..session import reliable_checkpoint
 from ..sources import sinks
 from ..sources.seeds import SPEND_SCHEMA
 
-LATE_DATA = "7 days"
-
 KINDS = {
-    # kind: (staging builder, key, event-date column, clustering columns)
-    "spend": (staging.stg_spend, "spend_id", "date", ("platform", "network_name", "campaign_name")),
-    "user_data": (staging.stg_user_data, "user_id", "install_date", ("platform", "network_name", "campaign_name")),
+    # kind: (staging builder, event-date column, clustering columns)
+    "spend": (staging.stg_spend, "date", ("platform", "network_name", "campaign_name")),
+    "user_data": (staging.stg_user_data, "install_date", ("platform", "network_name", "campaign_name")),
 }
 
 
-def stage_stream(stream: DataFrame, kind: str, late: str = LATE_DATA) -> DataFrame:
-    """Keyed staging rows with a watermark on the event day and duplicates of
-    the key dropped while they can still arrive (state is bounded by the
-    watermark, not by the history)."""
-    build, key, date_col, _ = KINDS[kind]
-    keyed = build(stream).withColumn("_event_ts", F.col(date_col).cast("timestamp"))
-    return keyed.withWatermark("_event_ts", late).dropDuplicatesWithinWatermark([key]).drop("_event_ts")
+def stage_stream(stream: DataFrame, kind: str) -> DataFrame:
+    """Keyed staging rows, stateless."""
+    return KINDS[kind][0](stream)
+
+
+def _append_once(spark: SparkSession, batch: DataFrame, batch_id: int, path: str, date_col: str, cluster) -> None:
+    """Appends a micro-batch unless a run that broke off behind its commit
+    has appended it already."""
+    if sinks.table_exists(spark, path) and not spark.read.parquet(path).filter(F.col("batch_id") == batch_id).isEmpty():
+        return
+    sinks.write_partitioned(batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")), path, date_col, cluster, mode="append")
 
 
 def start_staging_stream(spark: SparkSession, kind: str, source_dir: str, table_path: str,
                          schema=None, checkpoint: str | None = None, available_now: bool = True,
                          on_batch=None):
-    """Read new Parquet files of ``kind`` from ``source_dir`` and MERGE each
+    """Read new Parquet files of ``kind`` from ``source_dir`` and bring each
     micro-batch into the partitioned staging table at ``table_path``. The
     stream's checkpoint lives under the cluster's shared checkpoint folder
     unless given. ``on_batch(batch_df, batch_id)`` runs after each merge
     (e.g. ``refresh_daily`` for the touched days)."""
-    _, key, date_col, cluster = KINDS[kind]
+    _, date_col, cluster = KINDS[kind]
     if schema is None:
         schema = spark.read.parquet(source_dir).schema if kind != "spend" else SPEND_SCHEMA
     stream = spark.readStream.schema(schema).parquet(source_dir)
     staged = stage_stream(stream, kind)
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = staging.dedupe_latest(batch, key) if "src_id" in batch.columns else batch.dropDuplicates([key])
-        sinks.merge_into_partitioned(spark, table_path, batch, key, partition_col=date_col, cluster_cols=cluster)
+        if "src_id" in batch.columns:
+            rows = staging.dedupe_latest(batch, "src_id", date_col)
+            sinks.merge_into_partitioned(spark, table_path, rows, "src_id", partition_col=date_col, cluster_cols=cluster)
+        else:
+            _append_once(spark, batch, batch_id, table_path, date_col, cluster)
         if on_batch is not None:
             on_batch(batch, batch_id)
 
@@ -66,7 +70,7 @@ def start_staging_stream(spark: SparkSession, kind: str, source_dir: str, table_
 def refresh_daily(spark: SparkSession, stg_spend: DataFrame, stg_users: DataFrame, dims: dict,
                   touched_days: DataFrame, daily_path: str) -> None:
     """Recompute the daily fact for the days in ``touched_days`` (one column
-    ``date``) from the staging tables and MERGE it into ``daily_path``. The
+    ``date``) from the staging tables and overwrite them in ``daily_path``. The
     semi joins restrict both staging scans to those days (partition pruning
     when staging is stored by date)."""
     days = touched_days.select("date").distinct()
@@ -74,4 +78,4 @@ def refresh_daily(spark: SparkSession, stg_spend: DataFrame, stg_users: DataFram
     u = stg_users.join(days.withColumnRenamed("date", "install_date"), "install_date", "left_semi")
     fresh = daily.campaign_daily(daily.spend_user_full_outer(daily.daily_spend(s), daily.daily_users(u)),
                                  dims["campaign"], dims["network"], dims["platform"], dims["date"])
-    sinks.merge_into_partitioned(spark, daily_path, fresh, "campaign_daily_id")
+    sinks.write_partitioned(reliable_checkpoint(fresh), daily_path)

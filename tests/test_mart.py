@@ -34,7 +34,7 @@ def test_build_writes_every_model_with_audit_columns(mart, spark, tmp_path):
     assert daily.count() == mart.campaign_daily.count()
     assert {"created_at", "updated_at"} <= set(daily.columns)
     ts = daily.select("created_at").distinct().collect()
-    assert len(ts) == 1 and str(ts[0][0]).startswith("2024-07-28")
+    assert len(ts) == 1 and str(ts[0][0]).startswith("2024-09-26")
     plan = daily.filter(F.col("date") == F.lit("2024-07-01").cast("date"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan
 
