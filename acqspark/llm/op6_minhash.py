@@ -8,7 +8,7 @@ give buckets; pairs are confirmed on the full sets.
 Documents with equal sets are one class. A bucket isn't expanded into pairs:
 its members are compared with its hub (the member that meets the most others),
 what is linked is contracted, and only members that are then still in
-different components, and can be similar by what they share with the hub, are
+different components, and can be similar by parity sketches of their sets, are
 compared with each other, so no link is lost."""
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .spans import FOLDED, hash_ranges, mix, owner, shingles, words
 BANDS, ROWS = 30, 5
 #: Shingles worked on at a time, so that the arrays stay in the cache.
 _BLOCK = 1 << 15
+#: Bits of a set's parity sketch, in words of 64.
+PARITY_WORDS = 16
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +100,22 @@ def set_ids(values: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     return out
 
 
+def parities(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One row of PARITY_WORDS words for each set: each shingle flips one bit.
+    Two sketches differ in no more bits than there are shingles that only one
+    of the sets has."""
+    size = 64 * PARITY_WORDS
+    bit = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(size)).astype(np.int64)
+    stops = np.concatenate([[0], np.cumsum(counts)])
+    out = np.empty((len(counts), PARITY_WORDS), np.int64)
+    for lo in range(0, len(counts), 2048):
+        hi = min(lo + 2048, len(counts))
+        at = np.repeat(np.arange(hi - lo) * size, counts[lo:hi]) + bit[stops[lo]:stops[hi]]
+        odd = (np.bincount(at, minlength=(hi - lo) * size) & 1).astype(np.uint8)
+        out[lo:hi] = np.packbits(odd).view(np.int64).reshape(hi - lo, PARITY_WORDS)
+    return out
+
+
 def _sketches(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, set_id, bands of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -114,18 +132,19 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(set_id, hashes) of the classes in `wanted` (set_id, id), once each."""
-    schema = pa.schema([("set_id", pa.binary()), ("hashes", pa.list_(pa.int64()))])
+    """(set_id, hashes, parity) of the classes in `wanted` (set_id, id), once each."""
+    schema = pa.schema([("set_id", pa.binary()), ("hashes", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
     key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))  # noqa: E731  a class may have null ids only
 
     def sets(batches):
         for b in batches:
             for lo, hi, data, off in pieces(b.column("text")):
                 values, counts = shingle_sets(data, off, n)
-                yield batch(schema, pa.array(set_ids(values, counts), pa.binary()), list_array(values.view(np.int64), counts, pa.int64()))
+                yield batch(schema, pa.array(set_ids(values, counts), pa.binary()), list_array(values.view(np.int64), counts, pa.int64()),
+                            list_array(parities(values, counts).ravel(), np.full(len(counts), PARITY_WORDS), pa.int64()))
 
     rows = docs.select(key("doc_id").alias("_k"), "text").join(wanted.select(key("id").alias("_k")).distinct(), "_k", "left_semi")
-    found = rows.select("text").mapInArrow(sets, "set_id binary, hashes array<long>")
+    found = rows.select("text").mapInArrow(sets, "set_id binary, hashes array<long>, parity array<long>")
     return staged(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "full-sets")
 
 
@@ -158,34 +177,24 @@ def _sized(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("u") != F.col("v")) & (100 * F.least("nu", "nv") >= 80 * F.greatest("nu", "nv"))).select("u", "v").distinct()
 
 
-def _split_members(hubbed: DataFrame, roots: DataFrame, compared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with `root`, and
-    at most how many shingles `inside` their hub's set and how many `outside`
-    of it another member can have too: shingles that only one of the members
-    has can't be shared."""
+def _split_members(hubbed: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component, with `root` and
+    the words p0, p1, ... of their parity sketch."""
     rooted = staged(hubbed.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "rooted")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("band")
-    split = rooted.join(staged(mixed, "mixed"), "band", "left_semi")
-    split = split.join(compared.select(F.col("u").alias("hub"), F.col("v").alias("set_id"), "shared"), ["hub", "set_id"], "left")
-    split = staged(split, "split-members")
-    held = sets.join(split.select("set_id").distinct(), "set_id", "left_semi").select("set_id", F.explode("hashes").alias("hash"))
-    lone = held.groupBy("hash").agg(F.count("*").alias("n"), F.min("set_id").alias("set_id")).where("n = 1").groupBy("set_id").agg(F.count("*").alias("lone"))
-    split = split.join(staged(lone, "lone-shingles"), "set_id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-    own = F.col("set_id") == F.col("hub")
-    return staged(split.withColumn("inside", F.when(own, F.col("n_shingles")).otherwise(F.coalesce("shared", "n_shingles")).cast("long"))
-                  .withColumn("outside", F.when(own, F.lit(0)).otherwise(F.coalesce(F.col("n_shingles") - F.col("shared"), "n_shingles") - F.col("lone")).cast("long"))
-                  .select("band", "set_id", "root", "n_shingles", "inside", "outside"), "split")
+    split = staged(rooted.join(staged(mixed, "mixed"), "band", "left_semi"), "split-members")
+    words = sets.select("set_id", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)])
+    return staged(split.select("band", "set_id", "root", "n_shingles").join(words, "set_id"), "split")
 
 
 def _rest_pairs(split: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components that can be similar: two
-    sets share no more than the lesser part inside the hub's set and the lesser
-    part outside of it, which rules most pairs out without their sets."""
+    """Pairs of one bucket in different components that can be similar: similar
+    sets differ in no more than a ninth of their shingles together, nor then in
+    more bits of their sketches, which rules most pairs out without their sets."""
     a, b = (split.select("band", F.col("set_id").alias(s), F.col("root").alias(f"r{s}"), F.col("n_shingles").alias(f"n{s}"),
-                         F.col("inside").alias(f"i{s}"), F.col("outside").alias(f"o{s}")) for s in "uv")
-    most = F.least("iu", "iv") + F.greatest(F.least("ou", "ov"), F.lit(0))
-    most = F.least(most, F.col("nu"), F.col("nv"))
-    return _sized(a.join(b, "band").where((F.col("ru") < F.col("rv")) & similar(most, F.col("nu"), F.col("nv"))))
+                         *[F.col(f"p{k}").alias(f"p{k}{s}") for k in range(PARITY_WORDS)]) for s in "uv")
+    bits = sum((F.bit_count(F.col(f"p{k}u").bitwiseXOR(F.col(f"p{k}v"))) for k in range(PARITY_WORDS)), F.lit(0))
+    return _sized(a.join(b, "band").where((F.col("ru") < F.col("rv")) & (9 * bits <= F.col("nu") + F.col("nv"))))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
@@ -209,7 +218,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
     hubbed = _with_hubs(members)
     compared = _compared(_sized(hubbed.select(F.col("hub").alias("u"), F.col("n_hub").alias("nu"), F.col("set_id").alias("v"), F.col("n_shingles").alias("nv"))), sets)
     roots = staged(components(_links(compared)), "roots")
-    rest = _compared(_rest_pairs(_split_members(hubbed, roots, compared, sets)), sets)
+    rest = _compared(_rest_pairs(_split_members(hubbed, roots, sets)), sets)
     links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_links(rest))
     roots = staged(components(links), "components")
     grouped = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "id", F.coalesce("root", "set_id").alias("root"))
