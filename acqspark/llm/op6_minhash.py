@@ -132,7 +132,7 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(set_id, hashes, parity) of the classes in `wanted` (set_id, id), once each."""
+    """(node, hashes, parity) of the classes in `wanted` (node, set_id, id), once each."""
     schema = pa.schema([("set_id", pa.binary()), ("hashes", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
     key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))  # noqa: E731  a class may have null ids only
 
@@ -145,7 +145,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     rows = docs.select(key("doc_id").alias("_k"), "text").join(wanted.select(key("id").alias("_k")).distinct(), "_k", "left_semi")
     found = rows.select("text").mapInArrow(sets, "set_id binary, hashes array<long>, parity array<long>")
-    return staged(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "full-sets")
+    return staged(found.join(wanted.select("set_id", "node"), "set_id").dropDuplicates(["set_id"]).drop("set_id"), "full-sets")
 
 
 def similar(shared: Column, a: Column, b: Column) -> Column:
@@ -155,8 +155,8 @@ def similar(shared: Column, a: Column, b: Column) -> Column:
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) with the sizes nu, nv of their full sets and how many
     shingles both have."""
-    left = sets.select(F.col("set_id").alias("u"), F.col("hashes").alias("hu"))
-    right = sets.select(F.col("set_id").alias("v"), F.col("hashes").alias("hv"))
+    left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("hu"))
+    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("hv"))
     return staged(pairs.select("u", "v").join(right, "v").join(left, "u")
                   .select("u", "v", F.size("hu").alias("nu"), F.size("hv").alias("nv"), F.size(F.array_intersect("hu", "hv")).alias("shared")), "compared")
 
@@ -165,12 +165,18 @@ def _links(compared: DataFrame) -> DataFrame:
     return compared.where(similar(F.col("shared"), F.col("nu"), F.col("nv"))).select("u", "v")
 
 
+def _members(classes: DataFrame) -> DataFrame:
+    """(band, node, n_shingles, size) of the classes in buckets of two or more."""
+    banded = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    shared = staged(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "shared-buckets")
+    return staged(banded.join(shared, "band"), "members")
+
+
 def _with_hubs(members: DataFrame) -> DataFrame:
-    """The members (band, set_id, n_shingles) with their bucket's hub."""
-    buckets = staged(members.groupBy("band").agg(F.count("*").alias("size")), "bucket-sizes")
-    degree = staged(members.join(buckets, "band").groupBy("set_id").agg(F.sum("size").alias("degree")), "degrees")
-    hubs = (members.join(degree, "set_id").groupBy("band").agg(F.max(F.struct("degree", "set_id", "n_shingles")).alias("hub")))
-    return staged(members.join(staged(hubs, "hubs"), "band").select("band", "set_id", "n_shingles", F.col("hub.set_id").alias("hub"), F.col("hub.n_shingles").alias("n_hub")), "hubbed")
+    """The members (band, node, n_shingles) with their bucket's hub."""
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))  # a node has at most BANDS rows
+    hubs = members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node", "n_shingles")).alias("hub"))
+    return staged(members.join(staged(hubs, "hubs"), "band").select("band", "node", "n_shingles", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("n_hub")), "hubbed")
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
@@ -180,18 +186,18 @@ def _sized(pairs: DataFrame) -> DataFrame:
 def _split_members(hubbed: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component, with `root` and
     the words p0, p1, ... of their parity sketch."""
-    rooted = staged(hubbed.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "rooted")
+    rooted = staged(hubbed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("band")
     split = staged(rooted.join(staged(mixed, "mixed"), "band", "left_semi"), "split-members")
-    words = sets.select("set_id", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)])
-    return staged(split.select("band", "set_id", "root", "n_shingles").join(words, "set_id"), "split")
+    words = sets.select("node", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)])
+    return staged(split.select("band", "node", "root", "n_shingles").join(words, "node"), "split")
 
 
 def _rest_pairs(split: DataFrame) -> DataFrame:
     """Pairs of one bucket in different components that can be similar: similar
     sets differ in no more than a ninth of their shingles together, nor then in
     more bits of their sketches, which rules most pairs out without their sets."""
-    a, b = (split.select("band", F.col("set_id").alias(s), F.col("root").alias(f"r{s}"), F.col("n_shingles").alias(f"n{s}"),
+    a, b = (split.select("band", F.col("node").alias(s), F.col("root").alias(f"r{s}"), F.col("n_shingles").alias(f"n{s}"),
                          *[F.col(f"p{k}").alias(f"p{k}{s}") for k in range(PARITY_WORDS)]) for s in "uv")
     bits = sum((F.bit_count(F.col(f"p{k}u").bitwiseXOR(F.col(f"p{k}v"))) for k in range(PARITY_WORDS)), F.lit(0))
     return _sized(a.join(b, "band").where((F.col("ru") < F.col("rv")) & (9 * bits <= F.col("nu") + F.col("nv"))))
@@ -208,23 +214,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
     null ids alone has a null component_id and is kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = _sketches(docs, shingle_words)
-    classes = staged(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles")), "classes")
-    banded = rows.where("n_shingles > 0").select("set_id", "n_shingles", F.explode("bands").alias("band")).distinct()
-    banded = staged(banded, "banded")
-    shared = staged(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"), "shared-buckets")
-    members = staged(banded.join(shared, "band", "left_semi"), "members")
-    wanted = classes.join(members.select("set_id").distinct(), "set_id", "left_semi")
+    # a class is a node named by its smallest id, so a component's smallest node has its smallest id
+    node = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "set_id")
+    classes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = staged(classes.withColumn("node", node), "classes")
+    members = _members(classes)
+    wanted = classes.join(members.select(F.col("node.set_id").alias("set_id")).distinct(), "set_id", "left_semi")
     sets = _full_sets(docs, wanted, shingle_words)
     hubbed = _with_hubs(members)
-    compared = _compared(_sized(hubbed.select(F.col("hub").alias("u"), F.col("n_hub").alias("nu"), F.col("set_id").alias("v"), F.col("n_shingles").alias("nv"))), sets)
+    compared = _compared(_sized(hubbed.select(F.col("hub").alias("u"), F.col("n_hub").alias("nu"), F.col("node").alias("v"), F.col("n_shingles").alias("nv"))), sets)
     roots = staged(components(_links(compared)), "roots")
     rest = _compared(_rest_pairs(_split_members(hubbed, roots, sets)), sets)
     links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_links(rest))
-    roots = staged(components(links), "components")
-    grouped = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "id", F.coalesce("root", "set_id").alias("root"))
-    grouped = staged(grouped, "grouped")
-    least = staged(grouped.groupBy("root").agg(F.min("id").alias("least")), "least")
-    named = staged(grouped.join(least, "root").select("set_id", "least"), "named")
+    least = F.coalesce("root", "node")
+    named = classes.select("set_id", "node").join(components(links), "node", "left").select("set_id", F.when(~least["no_id"], least["id"]).alias("least"))
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return (rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
