@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import surrogate_key, adjusted_revenue, month_start, month_index
@@ -47,24 +47,28 @@ def cohort_retention(stg_users: DataFrame) -> DataFrame:
     """Cohort = month of a device's first install; for each later month with
     installs, active devices, revenue, and the share of the cohort.
 
-    First months come from an aggregate per device (partial, skew-safe) and
-    are joined back by device; the join feeds a differently-keyed aggregate,
-    so AQE may split a skewed device partition."""
+    The installs are first summed per device, platform and month (a partial
+    aggregate), so the windows per device see no more rows than it has months
+    and platforms, however often it installs. A device counts towards its
+    cohort's size once per platform. Rows without a device, a platform or a
+    first month belong to no cohort."""
     u = stg_users.select("adid", "platform", month_start("install_date").alias("activity_month"),
                          adjusted_revenue("lower", null_as_zero=False).alias("adjusted_revenue"))
-    first = u.groupBy("adid").agg(F.min("activity_month").alias("cohort_month"))
-    j = u.join(first, "adid").withColumn(
-        "months_since_install", (month_index("activity_month") - month_index("cohort_month")).cast("int"))
-    # one row per device and cohort cell; both aggregates below read this
-    # single (reused) exchange instead of joining the installs twice
-    per_device = j.groupBy("cohort_month", "platform", "months_since_install", "adid").agg(
-        F.sum("adjusted_revenue").alias("adjusted_revenue"))
-    act = per_device.groupBy("cohort_month", "platform", "months_since_install").agg(
+    u = u.filter(F.col("adid").isNotNull())
+    per_device = u.groupBy("adid", "platform", "activity_month").agg(F.sum("adjusted_revenue").alias("adjusted_revenue"))
+    months = Window.partitionBy("adid", "platform").orderBy("activity_month")
+    placed = (per_device
+              .withColumn("cohort_month", F.min("activity_month").over(Window.partitionBy("adid")))
+              .withColumn("is_first", (F.row_number().over(months) == 1).cast("bigint"))
+              .filter(F.col("cohort_month").isNotNull() & F.col("platform").isNotNull())
+              .withColumn("months_since_install", (month_index("activity_month") - month_index("cohort_month")).cast("int")))
+    cells = placed.groupBy("cohort_month", "platform", "months_since_install").agg(
         F.count("*").alias("active_users"),
-        F.sum("adjusted_revenue").alias("cohort_revenue"))
-    size = (per_device.select("cohort_month", "platform", "adid").distinct()
-            .groupBy("cohort_month", "platform").agg(F.count("*").alias("cohort_size")))
-    return (act.join(size, ["cohort_month", "platform"])
+        F.sum("adjusted_revenue").alias("cohort_revenue"),
+        F.sum("is_first").alias("first_users"))
+    # a cohort has one cell per month, so this window is small
+    size = F.sum("first_users").over(Window.partitionBy("cohort_month", "platform"))
+    return (cells.withColumn("cohort_size", size)
             .select("cohort_month", "platform", "months_since_install", "active_users", "cohort_size",
                     F.round(F.col("active_users") / F.col("cohort_size") * 100, 2).alias("retention_rate"),
                     "cohort_revenue"))
