@@ -1,8 +1,10 @@
 """Line deduplication by pairwise alignment.
 
 Overlapping documents are found through shared lines: each line of enough
-words, and each pair of consecutive lines, leads to the first document that
-holds it, so a line that many documents share gives one pair per document.
+words, and each shortest run of consecutive lines that has enough words, leads
+to the first document that holds it, so a line that many documents share gives
+one pair per document. A block that can be deleted is made up of such runs, and
+the first holder of a run is an exact partner for it.
 The two documents' shared lines are aligned by patience diff, and aligned
 common blocks of enough words are deleted from the later document. The first
 holder of a block keeps it."""
@@ -17,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, list_array, pieces, staged
-from .spans import BYTES, SPACE, hash_ranges, lines, mix
+from .spans import BYTES, SPACE, hash_ranges, hash_runs, lines
 
 #: A block is deleted if it has so many words; a shorter line is no evidence.
 BLOCK_WORDS = 10
+#: Lines whose runs are worked out at a time; a document with more is one piece.
+PIECE_LINES = 1 << 20
 
 
 def line_arrays(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -43,6 +47,25 @@ def line_arrays(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc, number, hash_ranges(data, first, last, BYTES), n_words
 
 
+def block_runs(doc: np.ndarray, number: np.ndarray, words: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (behind the last line) of the shortest runs of consecutive
+    lines of one document that have block_words words: the one from each line
+    on and the one up to each line. Together they cover every longer block."""
+    n, least = len(words), max(1, block_words)
+    sums = np.zeros(n + 1, np.int64)
+    np.cumsum(words, out=sums[1:])
+    stretch = np.zeros(n, np.int64)
+    np.cumsum((doc[1:] != doc[:-1]) | (number[1:] != number[:-1] + 1), out=stretch[1:])
+    at = np.arange(n)
+    start = np.concatenate([at, np.searchsorted(sums, sums[1:] - least, "right") - 1])
+    end = np.concatenate([np.searchsorted(sums, sums[:-1] + least), at + 1])
+    inside = (start >= 0) & (end <= n)
+    start, end = start[inside], end[inside]
+    whole = stretch[start] == stretch[end - 1]
+    run = np.unique(start[whole] * (n + 1) + end[whole])
+    return run // (n + 1), run % (n + 1)
+
+
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest run of pairs ascending in both places (pairs come sorted by the first)."""
     tops: list[int] = []
@@ -139,6 +162,32 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(split, "doc_id long, mark long, numbers array<long>, hashes array<long>, words array<long>")
 
 
+def _run_keys(texts: DataFrame, block_words: int) -> DataFrame:
+    """(doc, key): the hash of each of the `block_runs` of two or more lines."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64())])
+
+    def keys(batches):
+        for b in batches:
+            counts = b.column("nth").value_lengths().to_numpy(zero_copy_only=False)
+            nth, h, n = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("nth", "hash", "words"))
+            off = np.zeros(len(counts) + 1, np.int64)
+            np.cumsum(counts, out=off[1:])
+            lo = 0
+            while lo < len(counts):
+                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + PIECE_LINES, "right")) - 1)
+                part = slice(off[lo], off[hi])
+                row = np.repeat(np.arange(lo, hi), counts[lo:hi])
+                start, end = block_runs(row, nth[part], n[part], block_words)
+                many = end - start > 1
+                start, end = start[many], end[many]
+                of = pa.array(row[start])
+                yield batch(schema, b.column("doc_id").take(of), b.column("mark").take(of), hash_runs(h[part].view(np.uint64), start, end).view(np.int64))
+                lo = hi
+
+    flat = texts.select("doc.doc_id", "doc.mark", F.col("lines.nth").cast("array<long>").alias("nth"), F.col("lines.hash").alias("hash"), F.col("lines.words").alias("words"))
+    return flat.mapInArrow(keys, "doc_id long, mark long, key long").select(F.struct("doc_id", "mark").alias("doc"), "key")
+
+
 def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, mark, gone): the numbers of the lines to delete."""
     rows = _lines(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
@@ -151,10 +200,8 @@ def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     common = staged(line.join(shared, "hash"), "common-lines")
     texts = staged(common.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("nth", "number", "hash", "words"))).alias("lines")), "common-texts")
     single = common.where((F.col("words") >= block_words) & (F.col("first") != F.col("doc"))).select("first", "doc")
-    both = texts.select("doc", F.explode(F.expr(
-        "filter(transform(sequence(0, greatest(size(lines) - 2, 0)), i -> if(i + 1 < size(lines) and get(lines, i + 1).nth = lines[i].nth + 1,"
-        " xxhash64(lines[i].hash, get(lines, i + 1).hash), null)), x -> x is not null)")).alias("key"))
-    firsts = staged(both.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first != last").select("key", "first"), "shared-pairs")
+    both = _run_keys(texts, block_words)
+    firsts = staged(both.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first != last").select("key", "first"), "shared-runs")
     double = both.join(firsts, "key").where(F.col("first") != F.col("doc")).select("first", "doc")
     pairs = staged(single.unionByName(double).distinct(), "overlaps")
     aligned = (pairs.join(texts.select(F.col("doc").alias("first"), F.col("lines").alias("a")), "first")

@@ -62,6 +62,14 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.
     return out
 
 
+def hash_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs values[start:end] of hashes; runs may overlap."""
+    up, down = _power(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:len(values)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def words(data: np.ndarray, off: np.ndarray, cut_punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Start and end bytes of the words of all texts (text i is
     data[off[i]:off[i + 1]]). cut_punctuation: also part a word before a comma

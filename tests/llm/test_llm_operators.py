@@ -211,6 +211,13 @@ def test_line_dedup(docs, empty):
     assert op8.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_finds_the_holder_of_a_block_of_short_lines(spark):
+    a, b, c = "one two three four", "five six seven eight", "nine ten eleven twelve"
+    texts = [[a, b], [b, c], [a, b, c], [a, b, c]]
+    rows = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in op8.line_dedup(rows).collect()} == {0: f"{a}\n{b}", 1: f"{b}\n{c}", 2: f"{a}\n{b}\n{c}", 3: ""}
+
+
 def test_patience():
     assert op8.patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
     assert op8.patience([1, 1, 2], [2, 1, 1]) in ([(0, 1), (1, 2)], [(2, 0)])
