@@ -125,26 +125,44 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _in_runs(a: tuple[list, list], d: tuple[list, list, list], block_words: int) -> set[int]:
+    """Line numbers of d in `block_runs` that a holds anywhere."""
+    n_words = dict(zip(d[1], d[2]))
+    held = [(i, h, n_words[h]) for i, h in zip(*a) if h in n_words]
+    runs = []
+    for number, h, n in (zip(*held) if held else ([],) * 3, d):
+        start, end = block_runs(np.zeros(len(n), np.int64), np.array(number, np.int64), np.array(n, np.int64), block_words)
+        runs.append((start, end, hash_runs(np.array(h, np.int64).view(np.uint64), start, end)))
+    (_, _, known), (start, end, keys) = runs
+    found = np.isin(keys, known)
+    return {d[0][k] for s, e in zip(start[found].tolist(), end[found].tolist()) for k in range(s, e)}
+
+
 def deleted_lines(a: tuple[list, list], d: tuple[list, list, list], block_words: int) -> list[int]:
     """Line numbers of the later document that lie in aligned blocks. a and d:
     numbers and hashes of shared lines; d also has words. A block goes on
     while both sides' numbers go up by one. What is left of the later
-    document is aligned again, which finds moved and repeated blocks."""
+    document is aligned again, which finds moved and repeated blocks. A line
+    aligned in too short a block may lie in a longer one elsewhere; then the
+    later document's `block_runs` are looked up among the earlier one's."""
     gone: list[int] = []
+    whole, short = d, False
     while aligned := patience(a[1], d[1]):
         run: list[int] = []
         total, last = 0, None
         for i, j in aligned:
             if last is None or a[0][i] != last[0] + 1 or d[0][j] != last[1] + 1:
                 gone += run if total >= block_words else []
+                short |= 0 < total < block_words
                 run, total = [], 0
             run.append(d[0][j])
             total += d[2][j]
             last = (a[0][i], d[0][j])
         gone += run if total >= block_words else []
+        short |= total < block_words
         taken = {j for _, j in aligned}
         d = tuple([x for j, x in enumerate(column) if j not in taken] for column in d)
-    return gone
+    return gone + sorted(_in_runs(a, whole, block_words).difference(gone)) if short else gone
 
 
 def _lines(docs: DataFrame) -> DataFrame:

@@ -224,6 +224,44 @@ def test_patience():
     assert op8.deleted_lines(([0, 1, 2], [7, 8, 9]), ([0, 1, 2], [9, 7, 8], [6, 6, 6]), 10) == [1, 2]
 
 
+def _blocks(a, d, least):
+    """Places of d in blocks of least words that stand in a; both are lists of lines."""
+    gone = set()
+    for i in range(len(a)):
+        for j in range(len(d)):
+            n = 0
+            while i + n < len(a) and j + n < len(d) and a[i + n] == d[j + n]:
+                n += 1
+            if sum(len(x.split()) for x in d[j:j + n]) >= least:
+                gone |= set(range(j, j + n))
+    return gone
+
+
+def test_deleted_lines_tries_short_blocks_again():
+    s = [7, 8, 9]
+    assert sorted(op8.deleted_lines((list(range(5)), [s[0], 5, *s]), ([0, 1, 2], s, [4, 4, 4]), 10)) == [0, 1, 2]
+    r = random.Random(3)
+    for _ in range(300):
+        a, d = ([r.choice("abcdefg") for _ in range(r.randint(0, 14))] for _ in range(2))
+        line = {x: " ".join(x * (1 + ord(x) % 4)) for x in "abcdefg"}
+        got = op8.deleted_lines((list(range(len(a))), [ord(x) for x in a]), (list(range(len(d))), [ord(x) for x in d], [len(line[x].split()) for x in d]), 10)
+        assert len(got) == len(set(got)) and set(got) == _blocks([line[x] for x in a], [line[x] for x in d], 10)
+
+
+def test_line_dedup_of_short_lines(spark):
+    r = random.Random(4)
+    line = [" ".join(f"{x}{k}" for k in range(1 + i % 5)) for i, x in enumerate("abcdefghij")]
+    texts = [[r.choice(line) for _ in range(r.randint(0, 25))] for _ in range(60)]
+    rows = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op8.line_dedup(rows).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        gone = set().union(*(_blocks(texts[k], t, 10) for k in range(i)))
+        some += len(gone)
+        assert got[i].text == "\n".join(x for j, x in enumerate(t) if j not in gone) and got[i].lines_deleted == len(gone)
+    assert some > 50
+
+
 def test_shards(docs, empty, spark):
     out = hilbert_shards(docs).collect()
     sizes = Counter(r.shard for r in out)
