@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import batch, pieces
 
-#: Bounds of the training sample: rows per language (the first by hash of the
-#: id), symbols taken from one row, and symbols per language.
+#: Bounds of the training sample: texts per language (the first by hash, those
+#: that begin alike once), symbols taken from one, and symbols per language.
 SAMPLE_ROWS, ROW_SYMBOLS, LANGUAGE_SYMBOLS = 200, 400, 24_000
 #: Distinct labels that may be learned; more is an error, not a cut.
 MAX_LANGUAGES = 256
@@ -32,17 +32,21 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """Up to SAMPLE_ROWS (lang, text) of each language, a bounded list: the
-    start of ROW_SYMBOLS * 8 characters of rows chosen by a hash of the id."""
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    """Up to SAMPLE_ROWS (lang, text) of each language, a bounded list in the
+    order of lang and hash: the start of ROW_SYMBOLS * 8 characters of texts
+    chosen by a hash of what is learned of them, so that copies count once."""
+    learned = F.substring(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ")), 1, ROW_SYMBOLS)
     rows = (docs.select("doc_id", "lang", F.substring("text", 1, ROW_SYMBOLS * 8).alias("text"))
             .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-            .withColumn("_nth", F.row_number().over(by)).where(F.col("_nth") <= SAMPLE_ROWS)
-            .select("lang", "text"))
-    found = rows.limit(MAX_LANGUAGES * SAMPLE_ROWS + 1).collect()
+            .select("lang", F.xxhash64(learned).alias("_hash"), "text"))
+    by = Window.partitionBy("lang").orderBy("_hash")
+    # only hashes are exchanged, and the bounded list of the chosen ones is sent out
+    chosen = (rows.select("lang", "_hash").distinct().withColumn("_nth", F.row_number().over(by)).where(F.col("_nth") <= SAMPLE_ROWS)
+              .select("lang", "_hash").limit(MAX_LANGUAGES * SAMPLE_ROWS + 1))
+    found = rows.join(F.broadcast(chosen), ["lang", "_hash"]).groupBy("lang", "_hash").agg(F.min("text").alias("text")).collect()
     if len({r.lang for r in found}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} distinct labels")
-    return sorted((r.lang, r.text) for r in found)
+    return [(r.lang, r.text) for r in sorted(found, key=lambda r: (r.lang, r._hash))]
 
 
 def _symbols(texts: list[str]) -> list[str]:

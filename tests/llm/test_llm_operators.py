@@ -15,7 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from acqspark.llm import op8_line_dedup as op8  # noqa: E402
 from acqspark.llm.lexicon import Lexicon, build, save  # noqa: E402
-from acqspark.llm.op1_language_id import language_id, suffix_automaton  # noqa: E402
+from acqspark.llm.op1_language_id import SAMPLE_ROWS, language_id, suffix_automaton, training_sample  # noqa: E402
 from acqspark.llm.op2_archive_conversion import archive_conversion  # noqa: E402
 from acqspark.llm.op3_token_counts import fresh_cache, token_counts  # noqa: E402
 from acqspark.llm.op4_quality_rules import quality_rules  # noqa: E402
@@ -77,6 +77,17 @@ def test_language_id(docs, empty):
     assert language_id(empty).count() == 0
 
 
+def test_training_sample_takes_copies_once_and_no_order_of_text(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) + " more words" for _ in range(600)]
+    texts += ["aaa the same start " * 30 + str(i) for i in range(300)]  # these begin alike and sort first
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    sample = [t for _, t in training_sample(docs)]
+    assert len(sample) == len(set(sample)) == SAMPLE_ROWS and sum(t.startswith("aaa the") for t in sample) <= 1
+    assert sample != sorted(sample) and sum(t < "n" for t in sample[:60]) < 50
+    assert sample == [t for _, t in training_sample(docs.repartition(5).unionByName(docs))]
+
+
 def test_suffix_automaton_holds_all_substrings():
     arcs, _, _ = suffix_automaton("abcbcab")
     def known(s):
