@@ -57,16 +57,17 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return (a & b).total() / (a | b).total() if a or b else 0.0
 
 
-def _bags(texts: pa.Array) -> list[np.ndarray]:
-    """Shingles of each text in order; a text of fewer words has one of all."""
-    out: list[np.ndarray] = []
+def _bags(texts: pa.Array) -> list[tuple[int, np.ndarray]]:
+    """Words of a shingle and the shingles of each text in order; a text of
+    fewer words has one of all."""
+    out: list[tuple[int, np.ndarray]] = []
     for _, _, data, off in pieces(texts):
         start, end = words(data, off)
         doc, h = owner(off, start), hash_ranges(data, start, end, FOLDED)
         for d in range(len(off) - 1):
             own = h[np.searchsorted(doc, d):np.searchsorted(doc, d, "right")]
             n = min(SHINGLE, len(own))
-            out.append(shingles(own, np.zeros(len(own), np.int64), n)[0] if n else np.zeros(0, np.uint64))
+            out.append((n, shingles(own, np.zeros(len(own), np.int64), n)[0] if n else np.zeros(0, np.uint64)))
     return out
 
 
@@ -74,7 +75,10 @@ class ItemIndex:
     """The items of one block, by length in shingles."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        kept = [(i, v) for (i, _), v in zip(items, _bags(pa.array([t for _, t in items], pa.string()))) if len(v)]
+        bags = _bags(pa.array([t for _, t in items], pa.string()))
+        #: Words of the items' shingles.
+        self.words = sorted({n for n, _ in bags} - {0})
+        kept = [(i, v) for (i, _), (_, v) in zip(items, bags) if len(v)]
         self.ids = [i for i, _ in kept]
         self.bags = [Counter(v.tolist()) for _, v in kept]
         self.shingles = np.unique(np.concatenate([v for _, v in kept])) if kept else np.zeros(0, np.uint64)
@@ -127,6 +131,8 @@ class ItemIndex:
                 w, m = np.nonzero(candidate)
                 close = _COUNT[found[w] ^ prints[m]].sum(axis=1) <= RADIUS
                 for s, k in zip(some[w[close]].tolist(), members[m[close]].tolist()):
+                    if best.get(k, (0.0,))[0] == 1:
+                        continue
                     sim = weighted_similarity(Counter(values[s:s + width].tolist()), self.bags[k])
                     if sim >= SIMILARITY and sim > best.get(k, (0.0,))[0]:
                         best[k] = (sim, base + s, width)
@@ -147,7 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs: doc_id, text; benchmark: item_id, text (further columns are ignored).
     Items of fewer than five words are one shingle of all their words, and
-    match texts of just these words. Null and empty texts and items match
+    match windows of just these words. Null and empty texts and items match
     nothing; items without an id are ignored; repeated items and rows give
     equal results, repeated rows as often as they come; an empty table on
     either side gives none."""
@@ -165,12 +171,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     start, end = words(data, off)
                     doc, h = owner(off, start), hash_ranges(data, start, end, FOLDED)
                     rows = []
-                    counts = np.bincount(doc, minlength=hi - lo)
-                    for n in range(1, SHINGLE + 1):
+                    for n in index.value.words:
                         values, first = shingles(h, doc, n)
-                        if n < SHINGLE:  # only texts of n words
-                            own = counts[doc[first]] == n
-                            values, first = values[own], first[own]
                         hits = index.value.hits(values)
                         of = doc[first]
                         for d in np.unique(of[hits]).tolist():

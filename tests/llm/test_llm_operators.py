@@ -320,6 +320,21 @@ def test_contaminated(spark, docs, empty):
     assert contaminated(empty, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contaminated_by_short_items(spark):
+    texts = ["a b c d e f g h", "x A  b\nc", "a b x c", "b c", "c", "", "d e f g h i j k a b"]
+    items = ["b C", "a b c", "d e f g", "d e f g h", "k", "z", "a b c d e f"]
+    want = set()
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        for k, x in enumerate(items):
+            v = x.lower().split()
+            at = [j for j in range(len(w) - len(v) + 1) if w[j:j + len(v)] == v]
+            want |= {(i, k, 1.0, j, len(v)) for j in at[:1]}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert len(want) == 11 and set(map(tuple, contaminated(docs, bench).collect())) == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
