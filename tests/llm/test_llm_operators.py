@@ -355,3 +355,108 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     want = sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == want
+
+
+def _planted():
+    """(doc_id, text, lang, source, n_chars) with something for each stage, and benchmark items."""
+    r = random.Random(7)
+    prose = lambda n: [r.choice("bdfgklmnprst") + "".join(r.choice("aeiou") + r.choice("bdfgklmnprst") for _ in range(3)) for _ in range(n)]
+    page = lambda *more: "\n".join([" ".join(prose(9)) for _ in range(6)] + list(more))
+    a, b, c, x, s1, s2, s3 = (" ".join(prose(4)) for _ in range(7))
+    long, passage = " ".join(prose(12)), prose(60)
+    changed = [*passage[:30], "changed", *passage[31:]]
+    junk = lambda: "\n".join(" ### ".join(prose(10)) for _ in range(6))
+    first = page(long)
+    good = [first, page(a, b), page(b, c), page(a, b, c), page(long, "", a, " " + b + " ", c), first, page(s1, x, s1, s2, s3), page(s1, s2, s3), page(a, c, b)]
+    good += [" ".join(first.split()), page(" ".join(passage)), page(" ".join(changed)), page("see Short  item", "here"), page("short", "item here"), page("item short here")]
+    good += [page() for _ in range(15)] + [junk(), " ".join(prose(20)), "a b c " * 100, None]
+    rows = [(i, t, f"g{i % 3}") for i, t in enumerate(good)] + [(100 + i, junk(), "bad") for i in range(20)]
+    rows += [(200, junk(), None), (None, page(), "g1"), (201, page(), "bad"), rows[1], rows[12], (202, page(), "g2"), (202, "too short", "g2")]
+    return [(i, t, "en", h, len(t or "")) for i, t, h in rows], [(1, " ".join(passage)), (2, "Short item HERE"), (3, " ".join(prose(40))), (4, None), (5, "")]
+
+
+def _kept_by_quality(rows):
+    """Ids whose rows pass their own rules and those of their hosts."""
+    fails = []
+    for i, t, _, host, _ in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        c = Counter(zip(w, w[1:], w[2:]))
+        covered = {k + j for k in range(len(w) - 2) if c[tuple(w[k:k + 3])] > 1 for j in range(3)}
+        full = [x for x in t.split("\n") if WORD.search(x)]
+        chars = sum(map(len, w))
+        fails.append((i, host, [len(w) < 50, 100 * len(covered) > 50 * len(w), 10 * len(re.findall(r"[#*$%&|<>]", t)) > len(w),
+                                2 * (len(full) - len(set(full))) > len(full), chars > 12 * len(w) or chars < 2 * len(w)]))
+    n = Counter(h for _, h, _ in fails if h is not None)
+    total, room = sum(n.values()), sum(n.values()) - sum(v * v for v in n.values()) / sum(n.values()) - (len(n) - 1)
+    rejected = set()
+    for rule in range(5):
+        x = Counter(h for _, h, f in fails if h is not None and f[rule])
+        p = min(max(sum(x.values()) / total, 1e-9), 1 - 1e-9)
+        rho = (sum(n[h] * (x[h] / n[h] - p) ** 2 for h in n) / (p * (1 - p)) - (len(n) - 1)) / room
+        rho = min(max(rho, 1e-6), 0.999)
+        rejected |= {h for h in n if (x[h] + p * (1 / rho - 1)) / (n[h] + 1 / rho - 1) > 0.8}
+    return {i for i, _, _ in fails} - {i for i, h, f in fails if f[0] or f[1] or h in rejected}, rejected
+
+
+def _cleaned(rows):
+    """The rows without the line blocks of 10 words that an earlier document holds."""
+    full = lambda t: [(k, x.strip(" \t\r\v\f")) for k, x in enumerate(t.split("\n")) if WORD.search(x)]
+    out = []
+    for i, t, lang, host, n in rows:
+        mine = full(t)
+        gone = set()
+        for t2 in {t2 for i2, t2, *_ in rows if i is not None and i2 is not None and i2 < i}:
+            gone |= {mine[j][0] for j in _blocks([x for _, x in full(t2)], [x for _, x in mine], 10)}
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        if not gone or WORD.search(left):
+            out.append((i, left, lang, host, len(left) if gone else n))
+    return out
+
+
+def _holds(text, item):
+    w, v = (WORD.findall("".join(c.lower() if c.isascii() else c for c in t or "")) for t in (text, item))
+    n = min(5, len(v))
+    if not n:
+        return False
+    b = Counter(tuple(v[j:j + n]) for j in range(len(v) - n + 1))
+    s = [tuple(w[j:j + n]) for j in range(len(w) - n + 1)]
+    width = min(b.total(), len(s))
+    return any((a & b).total() >= 0.8 * (a | b).total() for j in range(len(s) - width + 1) if (a := Counter(s[j:j + width])))
+
+
+def test_pipeline_stages_against_plain_python(spark, tmp_path):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "lines", "near_duplicate", "decontaminate", "encode"]
+    rows, items = _planted()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def check(name, want):
+        got = [tuple(r) for r in stages[name](spark, spark.createDataFrame(rows, schema).repartition(3), str(tmp_path)).collect()]
+        _same(got, want)
+        return want
+
+    kept, rejected = _kept_by_quality(rows)
+    assert rejected == {"bad"} and {200, 30, None} <= kept and not {31, 32, 33, 201, 202} & kept
+    rows = check("quality", [r for r in rows if r[0] in kept])
+    want = _cleaned(rows)
+    gone = Counter()
+    for table, sign in ((rows, 1), (want, -1)):
+        for i, t, *_ in table:
+            gone[i] += sign * len(t.split("\n"))
+    assert {i: n for i, n in gone.items() if n} == {4: 4, 5: 7, 7: 3} and len(want) == len(rows) - 1
+    rows = check("lines", want)
+    near = {i for i, _, _, ok in _near([r[:2] for r in rows], 5) if not ok and i is not None}
+    assert near == {9}
+    rows = check("near_duplicate", [r for r in rows if r[0] not in near])
+    held = {r[0] for r in rows for _, x in items if _holds(r[1], x)}
+    assert held == {10, 11, 12, 13}
+    rows = check("decontaminate", [r for r in rows if r[0] not in held])
+    tok, want = load_tokenizer(WORD_BPE), []
+    for i, t, *_ in rows:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    check("encode", want)
