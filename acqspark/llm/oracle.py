@@ -51,4 +51,37 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_archive_conversion": _ARCHIVES, "op4_quality_rules": _QUALITY, "op6_minhash": _NEAR}
+# Turns of one number come in the order of their digest, as in the operator.
+_TRIE = """
+WITH tab AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)),
+                    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+turn AS (SELECT conv_id, turn, length(x) AS len, substr(sha256(length(r)::VARCHAR || ':' || r || x), 1, 32) AS digest
+         FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list({'d': digest, 'n': len} ORDER BY turn NULLS FIRST, digest) AS ts FROM turn GROUP BY conv_id),
+cut AS (SELECT conv_id, ts, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT)),
+                    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h FROM own, tab),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(p.ts, [])[1:c.h], c.ts[c.h + 1:]) AS ts FROM cut c LEFT JOIN own p ON p.conv_id = c.conv_id - c.conv_id % 100),
+prefix AS (SELECT conv_id, ts[1:d] AS k, d, d = len(ts) AS ends FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt)),
+node AS (SELECT k, d, min(conv_id) AS c, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM prefix GROUP BY k, d),
+kid AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+one AS (SELECT node.*, coalesce(kid.n, 0) AS kids, CASE WHEN d > 0 THEN (node.n - 1) * node.k[d].n ELSE 0 END AS saved FROM node LEFT JOIN kid USING (k)),
+tree AS (SELECT k[1:u] AS k, sum(saved) AS saved, count(*) FILTER (kids = 0) AS leaves FROM (SELECT k, saved, kids, unnest(range(0, d + 1)) AS u FROM one) GROUP BY 1)
+SELECT one.c::BIGINT AS conv_id, one.d::BIGINT AS depth, up.c::BIGINT AS parent_conv_id, one.n::BIGINT AS n_convs, one.kids::BIGINT AS n_children,
+       tree.leaves::BIGINT AS n_leaves, tree.saved::BIGINT AS saved_tokens, sha256(one.ids) AS ends_sha256
+FROM one JOIN tree ON tree.k = one.k LEFT JOIN node up ON one.d > 0 AND up.k = one.k[1:one.d - 1]
+"""
+
+_NEGATIVES = """
+WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END) AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+             row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op2_archive_conversion": _ARCHIVES, "op4_quality_rules": _QUALITY, "op6_minhash": _NEAR, "op11_prefix_trie": _TRIE, "op13_hard_negatives": _NEGATIVES}

@@ -15,6 +15,9 @@ from .op7_bpe_lexicon import bpe_codec
 from .op8_line_dedup import line_dedup
 from .op9_hilbert_sharding import hilbert_shards
 from .op10_decontamination import contaminated
+from .op11_prefix_trie import prefix_trie, turn_paths, with_openings
+from .op12_toxicity import toxicity
+from .op13_hard_negatives import hard_negatives, whole_vectors
 
 
 def table(spark, sf_dir: str, name: str):
@@ -63,4 +66,19 @@ def op10_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_archive_conversion, op3_token_counts, op4_quality_rules, op5_token_files, op6_minhash, op7_bpe_lexicon, op8_line_dedup, op9_hilbert_sharding, op10_decontamination)}
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie(with_openings(turn_paths(table(spark, sf_dir, "conversations"))))
+
+
+def op12_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    label = F.col("label").cast("long")
+    marked = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = whole_vectors(table(spark, sf_dir, "embeddings").withColumn("label", marked))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_archive_conversion, op3_token_counts, op4_quality_rules, op5_token_files, op6_minhash, op7_bpe_lexicon, op8_line_dedup, op9_hilbert_sharding, op10_decontamination, op11_prefix_trie, op12_toxicity, op13_hard_negatives)}
