@@ -69,14 +69,13 @@ def adjusted_revenue(mode: str = "lower", null_as_zero: bool = True,
     raise ValueError(f"unknown mode {mode!r}")
 
 
-# Money sums are snapped to this many decimals (far below a cent): a float sum
-# carries last-bit noise that depends on the order rows were added, and
-# ratios built on it (ROAS, ARPU) would inherit that noise.
-MONEY_SUM_DIGITS = 6
+# Decimals that money sums carry (far below a cent): a decimal sum doesn't
+# depend on the order in which rows are added, a float sum does.
+MONEY_DIGITS = 6
 
 
 def money_sum(c) -> Column:
-    return F.round(F.sum(as_col(c)), MONEY_SUM_DIGITS)
+    return F.sum(as_col(c).cast(f"decimal(28,{MONEY_DIGITS})")).cast("double")
 
 
 def round_cols(df: DataFrame, money=(), ratio=(), money_digits=4, ratio_digits=6) -> DataFrame:

@@ -1,29 +1,27 @@
 """Multi-touch attribution: touchpoint order per device, five credit models.
 
 Order of a device's touchpoints is (install_date, campaign_name, src_id);
-src_id breaks the ties the model's (install_date, campaign_name) leaves.
-
-Skew: a window partitioned by device puts each device in one task. Devices
-with more than ``hot_threshold`` rows are ranked differently: their rows are
-range-partitioned on (device, order key), so one device spans many tasks,
-ranked locally, and shifted by the sizes of the preceding blocks. The hot
-device list is counted before it is broadcast and kept under MAX_HOT_KEYS.
+src_id breaks the ties the model's (install_date, campaign_name) leaves. NULL
+sorts first; rows without a device count as the touchpoints of one device.
+
+Skew: a device may hold a third of all rows. Its order is therefore found in
+two levels, by the same plan for every device: rows are cut into blocks (device,
+install_date, campaign_name, src_id div BLOCK_IDS), at most BLOCK_IDS rows each,
+ranked inside their block, and shifted by the rows of the device's earlier
+blocks, which a window over the counts of blocks gives.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import surrogate_key, adjusted_revenue
-from ..session import reliable_checkpoint
 
 KEYS = ["platform", "campaign_name", "network_name"]
 TOUCH_ORDER = ["install_date", "campaign_name", "src_id"]
-# Rows per device above which its ranking is split across tasks.
-HOT_THRESHOLD = 2_000_000
+# Source ids in one block: the most rows that one task ranks together.
+BLOCK_IDS = 1 << 20
 # Position-based weights and the recommendation labels.
 POS_FIRST, POS_LAST, POS_MIDDLE = 0.4, 0.4, 0.2
 LABEL_POSITION = "Position-based (assisted conversions important)"
@@ -32,91 +30,41 @@ LABEL_DECAY = "Time-decay (recent interactions matter)"
 LABEL_LAST = "Last-touch (direct response dominant)"
 
 
-# Expected sample hits of a key sitting exactly at the threshold; keys with at
-# least half of that in the sample are treated as hot.
-HOT_SAMPLE_HITS = 100
-MAX_HOT_KEYS = 200_000
-
-
-def hot_keys(df: DataFrame, key: str, threshold: int, seed: int = 17, max_keys: int = MAX_HOT_KEYS):
-    """Keys that may hold more than ``threshold`` rows, with their exact row
-    counts, as ``(DataFrame(key, _hot_n) or None, threshold used)``.
-
-    Detection reads a sample of the key column (about 100 hits for a key of
-    ``threshold`` rows), so the common no-skew case costs one column scan and
-    no shuffle of every key. The candidate list is counted before it is
-    broadcast; if it is longer than ``max_keys`` the threshold is raised.
-    Only the candidates' rows are then counted exactly."""
-    while True:
-        fraction = min(1.0, HOT_SAMPLE_HITS / max(threshold, 1))
-        sampled = df.select(key) if fraction >= 1.0 else df.select(key).sample(False, fraction, seed)
-        cand = (sampled.groupBy(key).agg(F.count("*").alias("_hits"))
-                .filter(F.col("_hits") >= threshold * fraction / 2).select(key))
-        n = cand.count()
-        if n <= max_keys:
-            break
-        threshold *= 4
-    if n == 0:
-        return None, threshold
-    hot = df.join(F.broadcast(cand), key, "left_semi").groupBy(key).agg(F.count("*").alias("_hot_n"))
-    return hot, threshold
-
-
-def rank_within(df: DataFrame, key: str, order: list[str], hot_threshold: int = HOT_THRESHOLD,
+def rank_within(df: DataFrame, key: str, order: list[str], block_ids: int = BLOCK_IDS,
                 order_col: str = "touchpoint_order", count_col: str = "touchpoint_count",
                 sums: dict | None = None) -> DataFrame:
-    """row_number() and count() per ``key`` ordered by ``order`` (which must be
-    unique within a key), plus per-key sums of the ``sums`` columns
-    (name -> source column), safe for keys holding a large share of all rows.
-    Which keys take the split path affects only speed: both paths rank exactly."""
+    """row_number() and count() per ``key`` ordered by ``order``, whose last
+    column is an integer id unique within a key, plus per-key sums of the
+    ``sums`` columns (name -> source column). A key's rows are never brought
+    into one task, only its blocks' counts are."""
     sums = sums or {}
-    hot, hot_threshold = hot_keys(df, key, hot_threshold)
-    w_cold = Window.partitionBy(key).orderBy(*order)
-    w_all = Window.partitionBy(key)
-    cold_cols = {order_col: F.row_number().over(w_cold), count_col: F.count("*").over(w_all)}
-    cold_cols.update({name: F.sum(src).over(w_all) for name, src in sums.items()})
-    if hot is None:
-        return df.withColumns(cold_cols)
-    stats = hot.agg(F.count("*").alias("k"), F.sum("_hot_n").alias("rows")).first()
-
-    # Route rows by a broadcast of the hot keys (counted, at most MAX_HOT_KEYS),
-    # before any shuffle on the key.
-    flagged = df.join(F.broadcast(hot), key, "left")
-    cold = flagged.filter(F.col("_hot_n").isNull()).drop("_hot_n").withColumns(cold_cols)
-
-    n_blocks = max(2, math.ceil(stats["rows"] / hot_threshold))
-    # Range partitioning gives each block a contiguous slice of (key, order);
-    # the checkpoint (to the cluster's checkpoint dir) pins the block ids so
-    # the local ranks and the block sizes are computed from the same split.
-    blocks = (flagged.filter(F.col("_hot_n").isNotNull())
-              .repartitionByRange(n_blocks, key, *order)
-              .withColumn("_blk", F.spark_partition_id()))
-    blocks = reliable_checkpoint(blocks)
-    local = blocks.withColumn("_local", F.row_number().over(Window.partitionBy(key, "_blk").orderBy(*order)))
-    sizes = blocks.groupBy(key, "_blk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    # At most n_blocks + (#hot keys) rows: blocks are contiguous ranges.
-    offsets = sizes.select(key, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    hot_ranked = (local.join(F.broadcast(offsets), [key, "_blk"])
-                  .withColumn(order_col, (F.col("_local") + F.col("_off")).cast("int"))
-                  .withColumn(count_col, F.col("_hot_n"))
-                  .drop("_local", "_off", "_blk", "_hot_n"))
-    if sums:
-        # per-key sums of the hot keys: a partial aggregate over their blocks
-        hot_sums = blocks.groupBy(key).agg(*[F.sum(src).alias(name) for name, src in sums.items()])
-        hot_ranked = hot_ranked.join(F.broadcast(hot_sums), key)
-    return cold.unionByName(hot_ranked)
-
-
-def touchpoints(stg_users: DataFrame, hot_threshold: int = HOT_THRESHOLD) -> DataFrame:
+    *coarse, ident = order
+    # Compared as one struct, NULL parts are equal to each other.
+    block = F.struct(F.col(key).alias("key"), *[F.col(c) for c in coarse],
+                     F.floor(F.col(ident) / block_ids).alias("block"))
+    rows = df.withColumn("_block", block)
+    counts = rows.groupBy("_block").agg(F.count("*").alias("_n"), *[F.sum(src).alias(f"_{name}") for name, src in sums.items()])
+    device = Window.partitionBy("_block.key").orderBy("_block")
+    earlier = device.rowsBetween(Window.unboundedPreceding, -1)
+    device = device.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = counts.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(device).alias(count_col),
+                           *[F.sum(f"_{name}").over(device).alias(name) for name in sums])
+    ranked = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_block").orderBy(ident)))
+    return (ranked.join(blocks, "_block")
+            .withColumn(order_col, (F.col("_before") + F.col("_place")).cast("int"))
+            .drop("_block", "_before", "_place"))
+
+
+def touchpoints(stg_users: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Installs with campaign and network, the lower-bound revenue estimate
     (NULL bucket stays NULL), touchpoint order and count per device."""
     t = (stg_users.filter(F.col("campaign_name").isNotNull() & F.col("network_name").isNotNull())
          .select("src_id", "adid", "platform", "install_date", "campaign_name", "network_name", "revenue_usd",
                  adjusted_revenue("lower", null_as_zero=False).alias("adjusted_revenue")))
-    r = rank_within(t, "adid", TOUCH_ORDER, hot_threshold, sums={"device_revenue": "adjusted_revenue"})
-    return r.select(*t.columns, F.col("touchpoint_order").cast("int").alias("touchpoint_order"),
-                    F.col("touchpoint_count").cast("bigint").alias("touchpoint_count"), "device_revenue")
+    r = rank_within(t, "adid", TOUCH_ORDER, block_ids, sums={"device_revenue": "adjusted_revenue"})
+    return r.select(*t.columns, "touchpoint_order", F.col("touchpoint_count").cast("bigint").alias("touchpoint_count"),
+                    "device_revenue")
 
 
 def _o():

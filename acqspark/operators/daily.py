@@ -93,6 +93,18 @@ def campaign_daily_named(combined: DataFrame, dim_campaign: DataFrame, dim_netwo
                     "platform", "network_name", "campaign_name")
 
 
+def campaign_daily_by_name(combined: DataFrame, dim_date: DataFrame) -> DataFrame:
+    """The same rows where the dimensions are built from the names of both
+    inputs, as the mart's are: every name has its dimension row and the id is
+    a function of the name, so the three joins would add nothing but a second
+    reading of the inputs."""
+    j = combined.where("campaign_name IS NOT NULL AND network_name IS NOT NULL AND platform IS NOT NULL")
+    j = j.join(dim_date.select("date", "date_id", *CALENDAR_COLS), "date")
+    j = j.withColumns({f"{d}_id": surrogate_key(name) for d, name in (("campaign", "campaign_name"), ("network", "network_name"), ("platform", "platform"))})
+    key = surrogate_key("date", "campaign_id", "network_id", "platform_id")
+    return j.select(key.alias("campaign_daily_id"), *DAILY_COLS[1:], *CALENDAR_COLS, "platform", "network_name", "campaign_name")
+
+
 def campaign_daily(combined: DataFrame, dim_campaign: DataFrame, dim_network: DataFrame,
                    dim_platform: DataFrame, dim_date: DataFrame) -> DataFrame:
     return campaign_daily_named(combined, dim_campaign, dim_network, dim_platform, dim_date).select(*DAILY_COLS)

@@ -85,31 +85,68 @@ def campaign_metrics(kpi_fc: DataFrame, high_roas_prob=None) -> DataFrame:
     if high_roas_prob is None:
         df = kpi_fc.withColumn("high_roas_prob", F.col("high_roas").cast("double"))
     else:
-        df = kpi_fc.join(high_roas_prob, CAMPAIGN_KEYS, "left")
+        df = kpi_fc.join(high_roas_prob.select(*CAMPAIGN_KEYS, "high_roas_prob"), CAMPAIGN_KEYS, "left")
     return df.select(*CAMPAIGN_KEYS, "total_revenue", "total_users", "conversion_rate", "total_spend",
                      "roas", "arpu", "forecasted_revenue", "high_roas", "high_roas_prob")
 
 
-def classifier_probability(kpi: DataFrame, num_trees: int = 50, seed: int = 1) -> DataFrame:
-    """Random forest on (total_spend, total_users, arpu) -> high_roas, scored on
-    its training rows; P(class 1) per campaign. With a single class present
-    the probability is the label. Spark ML trains it distributed."""
+# Features are rounded far below a cent, so that the order in which sums were
+# added can't move a row across a split of a tree.
+FEATURE_DIGITS = 6
+FEATURES = {"f_spend": "total_spend", "f_users": "total_users", "f_arpu": "arpu"}
+#: Partitions of the training rows; fixed, as the trees' samples depend on them.
+TRAINING_PARTS = 8
+
+
+def _classified(kpi: DataFrame) -> DataFrame:
+    return kpi.select(*CAMPAIGN_KEYS, "high_roas", *[F.round(F.col(c).cast("double"), FEATURE_DIGITS).alias(f) for f, c in FEATURES.items()])
+
+
+def train_classifier(kpi: DataFrame, num_trees: int = 50, seed: int = 1):
+    """A pipeline (assembler, random forest) fitted on the rows that have all
+    features, in a fixed order: the same rows give the same model. None if
+    they hold one class only."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
+
+    rows = _classified(kpi).dropna(subset=list(FEATURES)).withColumn("label", F.col("high_roas").cast("double"))
+    rows = rows.repartition(TRAINING_PARTS, *CAMPAIGN_KEYS).sortWithinPartitions(*CAMPAIGN_KEYS)
+    if rows.agg(F.count_distinct("label")).first()[0] < 2:
+        return None
+    forest = RandomForestClassifier(numTrees=num_trees, seed=seed, labelCol="label", featuresCol="features")
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(rows)
+
+
+def score_classifier(model, kpi: DataFrame) -> DataFrame:
+    """P(high ROAS) per campaign with what it rests on: ``model``, ``no spend or
+    users`` (a feature is missing; the label stands in) or ``one class`` (there
+    was no model to train; likewise)."""
     from pyspark.ml.functions import vector_to_array
 
-    feats = kpi.select(*CAMPAIGN_KEYS, "high_roas",
-                       F.coalesce("total_spend", F.lit(0.0)).alias("f_spend"),
-                       F.col("total_users").cast("double").alias("f_users"),
-                       F.coalesce("arpu", F.lit(0.0)).alias("f_arpu"))
-    n_classes = feats.agg(F.count_distinct("high_roas")).first()[0]
-    if n_classes < 2:
-        return feats.select(*CAMPAIGN_KEYS, F.col("high_roas").cast("double").alias("high_roas_prob"))
-    vec = VectorAssembler(inputCols=["f_spend", "f_users", "f_arpu"], outputCol="features",
-                          handleInvalid="skip").transform(feats)
-    vec = vec.withColumn("label", F.col("high_roas").cast("double"))
-    model = RandomForestClassifier(numTrees=num_trees, seed=seed, labelCol="label",
-                                   featuresCol="features").fit(vec)
-    scored = model.transform(vec)
-    return scored.select(*CAMPAIGN_KEYS,
-                         vector_to_array("probability")[1].alias("high_roas_prob"))
+    rows, label = _classified(kpi), F.col("high_roas").cast("double")
+    if model is None:
+        return rows.select(*CAMPAIGN_KEYS, label.alias("high_roas_prob"), F.lit("one class").alias("prob_basis"))
+    whole = F.lit(True)
+    for f in FEATURES:
+        whole = whole & F.col(f).isNotNull()
+    rows = rows.withColumn("whole", whole).fillna(0.0, list(FEATURES))
+    return model.transform(rows).select(
+        *CAMPAIGN_KEYS, F.when(F.col("whole"), vector_to_array("probability")[1]).otherwise(label).alias("high_roas_prob"),
+        F.when(F.col("whole"), "model").otherwise("no spend or users").alias("prob_basis"))
+
+
+def classifier_probability(kpi: DataFrame, num_trees: int = 50, seed: int = 1, path: str | None = None) -> DataFrame:
+    """Random forest on (total_spend, total_users, arpu) -> high_roas, scored on
+    its training rows. With ``path`` the model stored there is used, or stored
+    there after training."""
+    from pyspark.ml import PipelineModel
+
+    from ..sources.sinks import table_exists
+
+    if path and table_exists(kpi.sparkSession, path):
+        return score_classifier(PipelineModel.load(path), kpi)
+    model = train_classifier(kpi, num_trees, seed)
+    if path and model is not None:
+        model.write().overwrite().save(path)
+    return score_classifier(model, kpi)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import surrogate_key
@@ -187,6 +187,12 @@ NOT_NULL = {
                                  "efficiency_score", "budget_recommendation", "recommended_spend", "spend_change",
                                  "expected_roas", "projected_revenue", "projected_profit",
                                  "roi_improvement_percent", "allocation_priority", "risk_level"],
+    "fact_seasonality_analysis": ["seasonality_id", "platform", "network_name", "campaign_name", "season",
+                                  "days_in_season", "seasonal_revenue", "seasonal_spend", "avg_seasonal_roas",
+                                  "seasonal_performance_index", "season_classification", "day_of_week",
+                                  "dow_avg_revenue", "dow_avg_roas", "day_classification", "month",
+                                  "monthly_revenue", "mom_growth_percent", "week_of_year",
+                                  "week_performance_tier", "special_period"],
     "stg_spend": ["spend_id", "date", "platform", "network_name", "campaign_name", "spend"],
     "stg_user_data": ["user_id", "adid", "platform", "install_date", "campaign_name", "network_name"],
 }
@@ -196,7 +202,7 @@ UNIQUE = {
     "fact_campaign_performance": "campaign_performance_id", "fact_campaign_daily": "campaign_daily_id",
     "fact_campaign_summary": "summary_id", "fact_user_cohort_analysis": "cohort_analysis_id",
     "fact_multi_touch_attribution": "attribution_id", "fact_budget_optimization": "optimization_id",
-    "stg_spend": "spend_id", "stg_user_data": "user_id",
+    "fact_seasonality_analysis": "seasonality_id", "stg_spend": "spend_id", "stg_user_data": "user_id",
 }
 ACCEPTED = [
     ("dim_platform", "platform", PLATFORMS),
@@ -211,6 +217,14 @@ ACCEPTED = [
     ("fact_budget_optimization", "budget_recommendation", BUDGET_VALUES),
     ("fact_budget_optimization", "allocation_priority", PRIORITY_VALUES),
     ("fact_budget_optimization", "risk_level", RISK_VALUES),
+    ("fact_seasonality_analysis", "platform", PLATFORMS),
+    ("fact_seasonality_analysis", "season", ("Winter", "Spring", "Summer", "Fall")),
+    ("fact_seasonality_analysis", "season_classification", ("Peak Season", "Good Season", "Average Season", "Low Season")),
+    ("fact_seasonality_analysis", "day_of_week", ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")),
+    ("fact_seasonality_analysis", "day_classification", ("Best Day", "Good Day", "Average Day", "Poor Day")),
+    ("fact_seasonality_analysis", "week_performance_tier", ("High Performance Week", "Low Performance Week", "Average Week")),
+    ("fact_seasonality_analysis", "special_period", ("Holiday Season Weekend", "Holiday Season", "Black Friday Period",
+                                                     "New Year Weekend", "Summer Weekend", "Regular Period")),
     ("stg_spend", "platform", PLATFORMS),
     ("stg_user_data", "platform", PLATFORMS),
     ("stg_user_data", "tracking_status", TRACKING),
@@ -223,6 +237,12 @@ RELATIONSHIPS = [
     ("fact_campaign_performance", "date_id", "dim_date", "date_id"),
     ("fact_campaign_performance", "total_revenue", "stg_campaign_metrics", "total_revenue"),
     ("fact_campaign_performance", "total_users", "stg_campaign_metrics", "total_users"),
+    ("fact_campaign_performance", "total_spend", "stg_campaign_metrics", "total_spend"),
+    ("fact_campaign_performance", "arpu", "stg_campaign_metrics", "arpu"),
+    ("fact_campaign_performance", "roas", "stg_campaign_metrics", "roas"),
+    ("fact_campaign_performance", "conversion_rate", "stg_campaign_metrics", "conversion_rate"),
+    ("fact_campaign_performance", "forecasted_revenue", "stg_campaign_metrics", "forecasted_revenue"),
+    ("fact_campaign_performance", "high_roas_prob", "stg_campaign_metrics", "high_roas_prob"),
     ("fact_campaign_daily", "campaign_id", "dim_campaign", "campaign_id"),
     ("fact_campaign_daily", "network_id", "dim_network", "network_id"),
     ("fact_campaign_daily", "platform_id", "dim_platform", "platform_id"),
@@ -230,56 +250,131 @@ RELATIONSHIPS = [
     ("fact_campaign_summary", "campaign_id", "dim_campaign", "campaign_id"),
     ("fact_campaign_summary", "network_id", "dim_network", "network_id"),
     ("fact_campaign_summary", "platform_id", "dim_platform", "platform_id"),
+    ("stg_spend", "spend", "spend", "spend"),
+    ("stg_user_data", "revenue_usd", "user_data", "revenue_usd"),
     ("stg_user_data", "cv_bucket", "dim_cv_bucket", "cv_bucket"),
 ]
+# The seasonality fact holds the rows of five grains; a column is tested on its own.
+GRAIN_OF = {c: grain for grain, columns in {
+    "season": ("network_name", "campaign_name", "season", "days_in_season", "seasonal_revenue", "seasonal_spend",
+               "avg_seasonal_roas", "seasonal_performance_index", "season_classification"),
+    "day_of_week": ("day_of_week", "dow_avg_revenue", "dow_avg_roas", "day_classification"),
+    "month": ("month", "monthly_revenue", "mom_growth_percent"),
+    "week": ("week_of_year", "week_performance_tier"),
+    "special_period": ("special_period",)}.items() for c in columns}
+
+
+def scope(model: str, col: str):
+    """The rows of ``model`` that a test of ``col`` looks at."""
+    if model == "fact_seasonality_analysis" and col in GRAIN_OF:
+        return F.col("grain") == GRAIN_OF[col]
+    return F.lit(True)
+
+
+def _row_tests(kinds=("not_null", "accepted_values")) -> dict[str, list[tuple[str, str, Column]]]:
+    """Per model the tests that one row alone decides: (kind, column, whether the row fails)."""
+    out: dict[str, list] = {}
+    if "not_null" in kinds:
+        for model, cols in NOT_NULL.items():
+            out.setdefault(model, []).extend(("not_null", c, scope(model, c) & F.col(c).isNull()) for c in cols)
+    if "accepted_values" in kinds:
+        for model, c, values in ACCEPTED:
+            out.setdefault(model, []).append(("accepted_values", c, scope(model, c) & ~F.col(c).isin(*values)))
+    return out
 
 
-def _long(model: str, test: str, agg_row: DataFrame, cols: list[str]) -> DataFrame:
-    """One aggregate row with a column per tested column -> long rows."""
-    pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
-    return agg_row.select(F.lit(test).alias("test_type"), F.lit(model).alias("model"),
-                          F.expr(f"stack({len(cols)}, {pairs}) as (column_name, failures)"))
-
-
-def _per_model_counts(models: dict[str, DataFrame], test: str) -> DataFrame:
-    """not_null / accepted_values: every tested column of a model is counted
-    in ONE aggregate pass over that model, then unpivoted to long rows."""
-    by_model: dict[str, list] = {}
-    if test == "not_null":
-        for model, cols in NOT_NULL.items():
-            by_model.setdefault(model, []).extend((c, _isnull(c)) for c in cols)
-    else:
-        for model, col, values in ACCEPTED:
-            by_model.setdefault(model, []).append((col, _not_in(col, values)))
+def row_test_results(models: dict[str, DataFrame], kinds=("not_null", "accepted_values")) -> DataFrame:
+    """Failures of every NULL and domain test: one aggregate over each model,
+    unpivoted. A NULL passes a domain test, like SQL NOT IN."""
     parts = []
-    for model, tests in by_model.items():
-        row = models[model].agg(*[agg.alias(c) for c, agg in tests])
-        parts.append(_long(model, test, row, [c for c, _ in tests]))
-    return union_all(parts)
+    for model, tests in _row_tests(kinds).items():
+        row = models[model].agg(*[F.count_if(bad).alias(f"t{i}") for i, (_, _, bad) in enumerate(tests)])
+        labels = ", ".join(f"'{kind}', '{c}', t{i}" for i, (kind, c, _) in enumerate(tests))
+        parts.append(row.select(F.lit(model).alias("model"), F.expr(f"stack({len(tests)}, {labels}) as (test_type, column_name, failures)")))
+    return union_all(parts).select("test_type", "model", "column_name", "failures")
 
 
 def test_not_null(models: dict[str, DataFrame]) -> DataFrame:
     """NULL count per tested column."""
-    return _per_model_counts(models, "not_null")
+    return row_test_results(models, ("not_null",))
 
 
 def test_accepted_values(models: dict[str, DataFrame]) -> DataFrame:
     """Rows whose value is outside the list (NULL passes, like SQL NOT IN)."""
-    return _per_model_counts(models, "accepted_values")
+    return row_test_results(models, ("accepted_values",))
+
+
+def _values(df: DataFrame, col: str, *tags: str) -> DataFrame:
+    """The non-NULL values of a column as text, with constant tags before them."""
+    named = [F.lit(t).alias(n) for n, t in zip(("domain", "model", "column_name"), tags)]
+    return df.select(*named, F.col(col).cast("string").alias("value")).where("value IS NOT NULL")
+
+
+def _with_zeros(spark, kind: str, tests: list[tuple[str, str]], failing: DataFrame) -> DataFrame:
+    """A row for every test, 0 where nothing failed."""
+    every = spark.createDataFrame(tests, "model string, column_name string")
+    return every.join(failing, ["model", "column_name"], "left").select(
+        F.lit(kind).alias("test_type"), "model", "column_name", F.coalesce("failures", F.lit(0).cast("bigint")).alias("failures"))
+
+
+def orphaned_values(models: dict[str, DataFrame]) -> DataFrame:
+    """(domain, model, column_name, value, n): child values that their parent
+    column lacks and the rows that hold them. All relationships are one anti
+    join of tagged values; each side is counted or made distinct first, so a
+    value of many rows is one row in the join."""
+    children = union_all([_values(models[child], col, f"{parent}.{field}", child, col) for child, col, parent, field in RELATIONSHIPS])
+    parents = union_all([_values(models[parent], field, f"{parent}.{field}") for parent, field in dict.fromkeys((p, f) for _, _, p, f in RELATIONSHIPS)])
+    held = children.groupBy("domain", "model", "column_name", "value").agg(F.count("*").alias("n"))
+    return held.join(parents.distinct(), ["domain", "value"], "left_anti")
 
 
 def test_relationships(models: dict[str, DataFrame]) -> DataFrame:
-    """Child values (non-NULL) missing from the parent column: a left anti join
-    against the distinct parent keys."""
+    """Rows per child column whose (non-NULL) value the parent column lacks."""
+    failing = orphaned_values(models).groupBy("model", "column_name").agg(F.sum("n").alias("failures"))
+    return _with_zeros(next(iter(models.values())).sparkSession, "relationships", [(m, c) for m, c, _, _ in RELATIONSHIPS], failing)
+
+
+def repeated_values(models: dict[str, DataFrame]) -> DataFrame:
+    """(model, column_name, value, n): key values that several rows of a model hold, by one aggregate over all models."""
+    keys = union_all([models[m].select(F.lit(m).alias("model"), F.lit(k).alias("column_name"), F.col(k).cast("string").alias("value")) for m, k in UNIQUE.items()])
+    return keys.groupBy("model", "column_name", "value").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def column_results(models: dict[str, DataFrame]) -> DataFrame:
+    """All column tests: (test_type, model, column_name, failures)."""
+    return union_all([row_test_results(models), test_relationships(models), test_unique(models)])
+
+
+def failing_rows(models: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """The rows that fail a column test: test_name, model and the row as JSON
+    (one table for models of any columns). A row that fails several tests
+    comes once for each. ``limit`` keeps so many rows of each test, by their text."""
+    name = lambda kind, model, col: "_".join((kind, model, col))
+    whole = F.to_json(F.struct("*")).alias("row")
     parts = []
-    for child, col, parent, field in RELATIONSHIPS:
-        keys = models[parent].select(F.col(field).alias("_k")).distinct()
-        c = models[child].select(F.col(col).alias("_k")).filter(F.col("_k").isNotNull())
-        orphans = c.join(keys, "_k", "left_anti")
-        parts.append(orphans.agg(F.count("*").alias("failures")).select(
-            F.lit("relationships").alias("test_type"), F.lit(child).alias("model"),
-            F.lit(col).alias("column_name"), "failures"))
-    return union_all(parts)
+    for model, tests in _row_tests().items():
+        failed = F.array_compact(F.array(*[F.when(bad, F.lit(name(kind, model, c))) for kind, c, bad in tests]))
+        rows = models[model].select(F.lit(model).alias("model"), whole, failed.alias("failed")).where(F.size("failed") > 0)
+        parts.append(rows.select(F.explode("failed").alias("test_name"), "model", "row"))
+    keyed: dict[tuple[str, str, str], None] = dict.fromkeys(("unique", m, k) for m, k in UNIQUE.items())
+    keyed |= dict.fromkeys(("relationships", m, c) for m, c, _, _ in RELATIONSHIPS)
+    bad = {"unique": repeated_values(models).select("model", "column_name", "value"), "relationships": orphaned_values(models).select("model", "column_name", "value")}
+    for kind in bad:
+        rows = union_all([models[m].select(F.lit(m).alias("model"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), whole)
+                          for k, m, c in keyed if k == kind])
+        rows = rows.join(bad[kind].distinct(), ["model", "column_name", "value"], "left_semi") if kind == "relationships" else _semi_null_safe(rows, bad[kind])
+        parts.append(rows.select(F.concat_ws("_", F.lit(kind), "model", "column_name").alias("test_name"), "model", "row"))
+    out = union_all(parts)
+    if limit is None:
+        return out
+    place = F.row_number().over(Window.partitionBy("test_name").orderBy("row"))
+    return out.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+
+
+def _semi_null_safe(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose (model, column_name, value) stands in ``keys``; NULL equals NULL."""
+    k = keys.select(F.struct("model", "column_name", "value").alias("_k"))
+    return rows.withColumn("_k", F.struct("model", "column_name", "value")).join(k, "_k", "left_semi").drop("_k")
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -288,12 +383,9 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def test_unique(models: dict[str, DataFrame]) -> DataFrame:
-    parts = []
-    for model, key in UNIQUE.items():
-        parts.append(duplicate_keys(models[model], key).agg(F.count("*").alias("failures")).select(
-            F.lit("unique").alias("test_type"), F.lit(model).alias("model"), F.lit(key).alias("column_name"),
-            "failures"))
-    return union_all(parts)
+    """Key values of each model that more than one row holds (NULL counts as a value)."""
+    failing = repeated_values(models).groupBy("model", "column_name").agg(F.count("*").alias("failures"))
+    return _with_zeros(next(iter(models.values())).sparkSession, "unique", list(UNIQUE.items()), failing)
 
 
 # The aggregate tests, their severity and their bad-row counters.
@@ -344,3 +436,8 @@ def unique_violations(df: DataFrame, key: str) -> DataFrame:
     duplicated keys, which are at most half the rows)."""
     dups = duplicate_keys(df, key)
     return df.join(dups, key, "inner")
+
+
+def history(scores: DataFrame) -> DataFrame:
+    """Recorded quality scores of all runs, the latest first."""
+    return scores.orderBy(F.desc("created_at"), "check_type", "table_name")

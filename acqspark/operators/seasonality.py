@@ -1,14 +1,16 @@
-"""Seasonality over the enriched daily fact: five long tables and the wide
-table's statistics.
+"""Seasonality over the enriched daily fact: five long tables, the seasonality
+fact of all their rows, and the wide table's statistics.
 
 The model compares each group's average daily ROAS with the platform's
 average over *daily rows* through a correlated subquery inside a grouped
-SELECT; here the platform average is one small aggregate joined to the
-group aggregates (both a few rows per platform).
+SELECT; here one pass over the daily rows (``measures``) carries sums and
+counts from which every table and the platform's average add up.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +25,43 @@ WEEK_HIGH, WEEK_LOW = 1.2, 0.8
 WEEKEND_DAYS = ("Saturday", "Sunday")
 
 
-def platform_roas(dp: DataFrame) -> DataFrame:
-    return dp.groupBy("platform").agg(F.avg("daily_roas").alias("_platform_avg_roas"))
+# Key columns of the five long tables, by grain.
+GRAINS = {"season": ["network_name", "campaign_name", "season"], "day_of_week": ["day_of_week"], "month": ["month"],
+          "week": ["week_of_year"], "special_period": ["special_period"]}
+_CELL = ["platform", "network_name", "campaign_name", "season"]
+_DAY = ["platform", "date", "year", "month", "day_of_week", "week_of_year", "special_period"]
+
+
+def measures(dp: DataFrame) -> DataFrame:
+    """Counts and sums of the daily rows by campaign cell and season, and by
+    platform and day, in one pass (grouping sets over one scan of the daily
+    fact, which holds one row per day and cell). All five tables add up from
+    these rows; ``usual`` is the platform's average daily ROAS."""
+    dp = dp.withColumn("special_period", special_period())
+    for c in _DAY:
+        if c not in dp.columns:
+            dp = dp.withColumn(c, F.lit(None).cast("int"))
+    keys = list(dict.fromkeys([*_CELL, *_DAY]))
+    g = dp.groupingSets([[F.col(c) for c in _CELL], [F.col(c) for c in _DAY]], *[F.col(c) for c in keys]).agg(
+        F.grouping("season").alias("by_day"), F.count("*").alias("n"), F.sum("daily_revenue").alias("revenue"),
+        F.sum("daily_spend").alias("spend"), F.sum("daily_users").alias("users"), F.sum("daily_roas").alias("roas"),
+        F.sum("daily_arpu").alias("arpu"))
+    of = Window.partitionBy("platform")  # over the sums: a row per cell and season or per day
+    by_day = F.col("by_day") == 1
+    return g.withColumn("usual", F.sum(F.when(by_day, F.col("roas"))).over(of) / F.sum(F.when(by_day, F.col("n"))).over(of))
+
+
+def _days(m: DataFrame) -> DataFrame:
+    return m.where(F.col("by_day") == 1)
+
+
+def _mean(c: str):
+    return F.sum(c) / F.sum("n")
 
 
 def _index(avg_col: str):
     """round(avg / platform avg * 100, 2) when avg > 0, else 100."""
-    ratio = F.col(avg_col) / F.nullif(F.col("_platform_avg_roas"), F.lit(0.0))
+    ratio = F.col(avg_col) / F.nullif(F.col("usual"), F.lit(0.0))
     return F.when(F.col(avg_col) > 0, F.round(ratio * 100, 2)).otherwise(F.lit(100.0))
 
 
@@ -41,64 +73,46 @@ def _band(col: str, bands, low):
     return out.otherwise(low)
 
 
-def seasonal_patterns(dp: DataFrame) -> DataFrame:
-    g = dp.groupBy("platform", "network_name", "campaign_name", "season").agg(
-        F.count_distinct("date").alias("days_in_season"),
-        F.sum("daily_revenue").alias("seasonal_revenue"),
-        F.sum("daily_spend").alias("seasonal_spend"),
-        F.avg("daily_roas").alias("avg_seasonal_roas"),
-        F.avg("daily_arpu").alias("avg_seasonal_arpu"),
-        F.sum("daily_users").alias("seasonal_users"))
-    g = g.join(platform_roas(dp), "platform").withColumn(
-        "seasonal_performance_index", _index("avg_seasonal_roas"))
-    return g.select("platform", "network_name", "campaign_name", "season", "days_in_season", "seasonal_revenue",
-                    "seasonal_spend", "avg_seasonal_roas", "avg_seasonal_arpu", "seasonal_users",
-                    "seasonal_performance_index",
-                    _band("seasonal_performance_index", INDEX_BANDS_SEASON, INDEX_LOW_SEASON)
-                    .alias("season_classification"))
-
-
-def dow_patterns(dp: DataFrame) -> DataFrame:
-    g = dp.groupBy("platform", "day_of_week").agg(
-        F.count_distinct("date").alias("occurrences"),
-        F.avg("daily_revenue").alias("avg_daily_revenue"),
-        F.avg("daily_roas").alias("avg_daily_roas"),
-        F.avg("daily_arpu").alias("avg_daily_arpu"),
-        F.sum("daily_users").alias("total_users"))
-    g = g.join(platform_roas(dp), "platform").withColumn("dow_performance_index", _index("avg_daily_roas"))
-    return g.select("platform", "day_of_week", "occurrences", "avg_daily_revenue", "avg_daily_roas",
-                    "avg_daily_arpu", "total_users", "dow_performance_index",
-                    _band("dow_performance_index", INDEX_BANDS_DAY, INDEX_LOW_DAY).alias("day_classification"))
-
-
-def monthly_trends(dp: DataFrame, by_year: bool = False) -> DataFrame:
+def seasonal_patterns(m: DataFrame) -> DataFrame:
+    g = m.where(F.col("by_day") == 0).select(
+        *_CELL, F.col("n").alias("days_in_season"), F.col("revenue").alias("seasonal_revenue"),
+        F.col("spend").alias("seasonal_spend"), (F.col("roas") / F.col("n")).alias("avg_seasonal_roas"),
+        (F.col("arpu") / F.col("n")).alias("avg_seasonal_arpu"), F.col("users").alias("seasonal_users"), "usual")
+    g = g.withColumn("seasonal_performance_index", _index("avg_seasonal_roas")).drop("usual")
+    return g.withColumn("season_classification", _band("seasonal_performance_index", INDEX_BANDS_SEASON, INDEX_LOW_SEASON))
+
+
+def dow_patterns(m: DataFrame) -> DataFrame:
+    g = _days(m).groupBy("platform", "day_of_week").agg(
+        F.count("*").alias("occurrences"), _mean("revenue").alias("avg_daily_revenue"),
+        _mean("roas").alias("avg_daily_roas"), _mean("arpu").alias("avg_daily_arpu"),
+        F.sum("users").alias("total_users"), F.max("usual").alias("usual"))
+    g = g.withColumn("dow_performance_index", _index("avg_daily_roas")).drop("usual")
+    return g.withColumn("day_classification", _band("dow_performance_index", INDEX_BANDS_DAY, INDEX_LOW_DAY))
+
+
+def monthly_trends(m: DataFrame, by_year: bool = False) -> DataFrame:
     """Month-over-month growth. The model groups by month number alone (years
     fold together); ``by_year=True`` keys by (year, month) instead. The lag
     window runs over the monthly aggregate (<= 12 rows per platform-year)."""
     keys = ["platform", "year", "month"] if by_year else ["platform", "month"]
-    g = dp.groupBy(*keys).agg(
-        F.count_distinct("date").alias("days_in_month"),
-        F.sum("daily_revenue").alias("monthly_revenue"),
-        F.sum("daily_spend").alias("monthly_spend"),
-        F.avg("daily_roas").alias("avg_monthly_roas"),
-        F.avg("daily_arpu").alias("avg_monthly_arpu"),
-        F.sum("daily_users").alias("monthly_users"))
+    g = _days(m).groupBy(*keys).agg(
+        F.count("*").alias("days_in_month"), F.sum("revenue").alias("monthly_revenue"),
+        F.sum("spend").alias("monthly_spend"), _mean("roas").alias("avg_monthly_roas"),
+        _mean("arpu").alias("avg_monthly_arpu"), F.sum("users").alias("monthly_users"))
     w = Window.partitionBy("platform").orderBy(*keys[1:])
-    prev = F.lag("monthly_revenue").over(w)
-    g = g.withColumn("prev_month_revenue", prev)
+    g = g.withColumn("prev_month_revenue", F.lag("monthly_revenue").over(w))
     p = F.col("prev_month_revenue")
     return g.withColumn("mom_growth_percent",
                         F.when(p > 0, F.round((F.col("monthly_revenue") - p) / p * 100, 2)).otherwise(F.lit(0.0)))
 
 
-def weekly_patterns(dp: DataFrame) -> DataFrame:
+def weekly_patterns(m: DataFrame) -> DataFrame:
     """``weeks_tracked`` counts distinct days, as in the model."""
-    g = dp.groupBy("platform", "week_of_year").agg(
-        F.count_distinct("date").alias("weeks_tracked"),
-        F.avg("daily_revenue").alias("avg_weekly_revenue"),
-        F.avg("daily_roas").alias("avg_weekly_roas"))
-    g = g.join(platform_roas(dp), "platform")
-    a, base = F.col("avg_weekly_roas"), F.col("_platform_avg_roas")
+    g = _days(m).groupBy("platform", "week_of_year").agg(
+        F.count("*").alias("weeks_tracked"), _mean("revenue").alias("avg_weekly_revenue"),
+        _mean("roas").alias("avg_weekly_roas"), F.max("usual").alias("usual"))
+    a, base = F.col("avg_weekly_roas"), F.col("usual")
     tier = (F.when(a >= base * WEEK_HIGH, "High Performance Week")
             .when(a <= base * WEEK_LOW, "Low Performance Week").otherwise("Average Week"))
     return g.select("platform", "week_of_year", "weeks_tracked", "avg_weekly_revenue", "avg_weekly_roas",
@@ -116,88 +130,60 @@ def special_period():
             .otherwise("Regular Period"))
 
 
-def special_periods(dp: DataFrame) -> DataFrame:
-    return (dp.withColumn("special_period", special_period())
-            .groupBy("platform", "special_period").agg(
-                F.count_distinct("date").alias("days_in_period"),
-                F.avg("daily_revenue").alias("avg_daily_revenue"),
-                F.avg("daily_roas").alias("avg_daily_roas"),
-                F.sum("daily_users").alias("total_users")))
+def special_periods(m: DataFrame) -> DataFrame:
+    return _days(m).groupBy("platform", "special_period").agg(
+        F.count("*").alias("days_in_period"), _mean("revenue").alias("avg_daily_revenue"),
+        _mean("roas").alias("avg_daily_roas"), F.sum("users").alias("total_users"))
 
 
 SIDES = ("seasonal", "dow", "month", "week", "special")
 
 
-def seasonality_tables(dp: DataFrame) -> dict[str, DataFrame]:
-    return {"seasonal": seasonal_patterns(dp), "dow": dow_patterns(dp), "month": monthly_trends(dp),
-            "week": weekly_patterns(dp), "special": special_periods(dp)}
-
-
-def seasonality_wide(dp: DataFrame) -> DataFrame:
-    """The model's wide table: every seasonal row x every day-of-week, month,
-    week and special-period row of its platform. Those four sides are
-    calendar-bounded (7, 12, 53, 6 rows per platform), so they are
-    broadcast and the fan-out happens map-side next to the seasonal rows;
-    the join on a two-valued key never becomes a shuffle on platform. The
-    key also carries week and special period, without which it repeats."""
-    t = seasonality_tables(dp)
-    dow = t["dow"].select("platform", "day_of_week", "occurrences",
-                          F.col("avg_daily_revenue").alias("dow_avg_revenue"),
-                          F.col("avg_daily_roas").alias("dow_avg_roas"),
-                          F.col("avg_daily_arpu").alias("dow_avg_arpu"),
-                          F.col("total_users").alias("dow_total_users"),
-                          "dow_performance_index", "day_classification")
-    mt = t["month"].select("platform", "month", "days_in_month", "monthly_revenue", "monthly_spend",
-                           "avg_monthly_roas", "avg_monthly_arpu", "monthly_users", "mom_growth_percent")
-    wp = t["week"]
-    sp2 = t["special"].select("platform", "special_period", "days_in_period",
-                              F.col("avg_daily_revenue").alias("special_avg_revenue"),
-                              F.col("avg_daily_roas").alias("special_avg_roas"),
-                              F.col("total_users").alias("special_total_users"))
-    w = t["seasonal"]
-    for side in (dow, mt, wp, sp2):
-        w = w.join(F.broadcast(side), "platform", "left")
-    key = surrogate_key("platform", "network_name", "campaign_name", "season", "day_of_week", "month",
-                        "week_of_year", "special_period")
-    return w.select(key.alias("seasonality_id"), *[c for c in w.columns])
-
-
-def seasonality_wide_stats(dp: DataFrame) -> DataFrame:
-    """Statistics of the wide table per platform without building it.
+def seasonality_tables(m: DataFrame) -> dict[str, DataFrame]:
+    """The five long tables from ``measures``."""
+    return {"seasonal": seasonal_patterns(m), "dow": dow_patterns(m), "month": monthly_trends(m),
+            "week": weekly_patterns(m), "special": special_periods(m)}
+
+
+def seasonality_long(tables: dict[str, DataFrame]) -> DataFrame:
+    """The seasonality fact: the rows of all five tables with their grain and
+    an id each (the columns of other grains are NULL). The model joins the five
+    on the platform alone, which repeats every row some 27,000 times."""
+    renamed = {"dow": {"avg_daily_revenue": "dow_avg_revenue", "avg_daily_roas": "dow_avg_roas", "avg_daily_arpu": "dow_avg_arpu", "total_users": "dow_total_users"},
+               "special": {"avg_daily_revenue": "special_avg_revenue", "avg_daily_roas": "special_avg_roas", "total_users": "special_total_users"}}
+    parts = []
+    for side, (grain, keys) in zip(SIDES, GRAINS.items()):
+        part = tables[side].withColumnsRenamed(renamed.get(side, {}))
+        key = surrogate_key(F.lit(grain), "platform", *keys)
+        parts.append(part.select(key.alias("seasonality_id"), F.lit(grain).alias("grain"), *part.columns))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def seasonality_wide_stats(m: DataFrame) -> DataFrame:
+    """Statistics of the model's wide table per platform without building it.
 
     The wide table per platform is the product of five sides, so its row
     count is the product of the side counts, and a column of one side
     appears (product of the other counts) times per row of that side: its
     sum over the wide rows is its side sum times that product. Five small
-    aggregates replace a fan-out of ~27,000 x the seasonal rows. Reported:
-    row and side counts, the day and user counters, and the revenue columns
-    that are sums (seasonal, monthly)."""
-    # The five sides' rows are these groups of the daily rows; only the
-    # columns the statistics use are aggregated (no index joins, no lag).
-    seasonal = dp.groupBy("platform", "network_name", "campaign_name", "season").agg(
-        F.count_distinct("date").alias("days_in_season"), F.sum("daily_users").alias("seasonal_users"),
-        F.sum("daily_revenue").alias("seasonal_revenue"))
-    dow = dp.groupBy("platform", "day_of_week").agg(
-        F.count_distinct("date").alias("occurrences"), F.sum("daily_users").alias("total_users"))
-    month = dp.groupBy("platform", "month").agg(
-        F.sum("daily_users").alias("monthly_users"), F.sum("daily_revenue").alias("monthly_revenue"))
-    week = dp.groupBy("platform", "week_of_year").agg(F.count_distinct("date").alias("weeks_tracked"))
-    special = dp.withColumn("special_period", special_period()).groupBy("platform", "special_period").agg(
-        F.sum("daily_users").alias("total_users"))
+    aggregates of ``measures`` replace a fan-out of ~27,000 x the seasonal
+    rows. Reported: row and side counts, the day and user counters, and the
+    revenue columns that are sums (seasonal, monthly)."""
+    day = _days(m)
     parts = {
-        "seasonal": seasonal.groupBy("platform").agg(
-            F.count("*").alias("n_seasonal"), F.sum("seasonal_users").alias("s_seasonal_users"),
-            F.sum("days_in_season").alias("s_days_in_season"), F.sum("seasonal_revenue").alias("s_seasonal_revenue")),
-        "dow": dow.groupBy("platform").agg(
-            F.count("*").alias("n_dow"), F.sum("total_users").alias("s_dow_users"),
-            F.sum("occurrences").alias("s_occurrences")),
-        "month": month.groupBy("platform").agg(
-            F.count("*").alias("n_month"), F.sum("monthly_users").alias("s_monthly_users"),
-            F.sum("monthly_revenue").alias("s_monthly_revenue")),
-        "week": week.groupBy("platform").agg(
-            F.count("*").alias("n_week"), F.sum("weeks_tracked").alias("s_weeks_tracked")),
-        "special": special.groupBy("platform").agg(
-            F.count("*").alias("n_special"), F.sum("total_users").alias("s_special_users")),
+        "seasonal": m.where(F.col("by_day") == 0).groupBy("platform").agg(
+            F.count("*").alias("n_seasonal"), F.sum("users").alias("s_seasonal_users"),
+            F.sum("n").alias("s_days_in_season"), F.sum("revenue").alias("s_seasonal_revenue")),
+        "dow": day.groupBy("platform").agg(
+            F.count_distinct("day_of_week").alias("n_dow"), F.sum("users").alias("s_dow_users"),
+            F.count("*").alias("s_occurrences")),
+        "month": day.groupBy("platform").agg(
+            F.count_distinct("month").alias("n_month"), F.sum("users").alias("s_monthly_users"),
+            F.sum("revenue").alias("s_monthly_revenue")),
+        "week": day.groupBy("platform").agg(
+            F.count_distinct("week_of_year").alias("n_week"), F.count("*").alias("s_weeks_tracked")),
+        "special": day.groupBy("platform").agg(
+            F.count_distinct("special_period").alias("n_special"), F.sum("users").alias("s_special_users")),
     }
     j = parts["seasonal"]
     for side in SIDES[1:]:

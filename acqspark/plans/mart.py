@@ -1,8 +1,10 @@
 """The whole mart as one lazily built object: each table is a DataFrame
-derived from the two inputs and ``as_of``; nothing runs until an action."""
+derived from the two inputs and ``as_of``. Only the span of days (one aggregate)
+is read while a plan is made."""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from functools import cached_property
 
@@ -15,29 +17,42 @@ from ..operators import (staging, dims, daily, kpis, performance, budget, attrib
                          quality, lineage, reports, incremental)
 
 
-def _last_day(user_data: DataFrame, spend: DataFrame) -> DataFrame:
-    days = spend.agg(F.max("date").alias("d")).unionByName(user_data.agg(F.max("install_date").alias("d")))
-    return days.agg(F.max("d"))
-
-
 class Mart:
+    """``probability``: "label" (the label as a number, the same in every
+    engine) or "model" (the classifier's, trained on the KPI table or read from
+    ``model_path``, where it's stored after training)."""
+
     def __init__(self, spark: SparkSession, user_data: DataFrame, spend: DataFrame,
-                 buckets: DataFrame | None = None, as_of=None,
-                 hot_threshold: int = attribution.HOT_THRESHOLD, materialize: bool = False):
+                 buckets: DataFrame | None = None, as_of=None, block_ids: int = attribution.BLOCK_IDS,
+                 probability: str = "label", model_path: str | None = None, materialize: bool = False):
         self.spark = spark
         self.materialize = materialize
         self.user_data = user_data
         self.spend = spend
         self.buckets = buckets if buckets is not None else cv_bucket_table(spark)
-        # Default "today": the last day of both inputs, as a scalar subquery so the
-        # plan stays lazy and follows the data.
-        self.as_of = as_of if as_of is not None else _last_day(user_data, spend).scalar()
-        self.hot_threshold = hot_threshold
+        self._as_of = as_of
+        self.block_ids = block_ids
+        self.probability, self.model_path = probability, model_path
         self._run_id = uuid.uuid4().hex[:12]
         self._written: list[str] = []
 
+    @cached_property
+    def span(self) -> tuple:
+        """First and last day of both inputs: one aggregate over two date
+        columns, run once and passed on as values, so that no model scans the
+        inputs for them again and date filters reach the scans."""
+        days = self.spend.agg(F.min("date").alias("a"), F.max("date").alias("b")).unionByName(
+            self.user_data.agg(F.min("install_date").alias("a"), F.max("install_date").alias("b")))
+        return tuple(days.agg(F.min("a"), F.max("b")).first())
+
+    @property
+    def as_of(self):
+        """"Today": given, or the last day of both inputs."""
+        return self._as_of if self._as_of is not None else self.span[1]
+
     def _keep(self, df: DataFrame) -> DataFrame:
-        """In materialize mode each model is computed once, written as a
+        """In materialize mode each model that costs an exchange of the inputs is
+        computed once (those that only project a stored one are not), written as a
         Parquet table under the cluster's shared checkpoint folder, and read
         back by downstream models, as a warehouse build would. This cuts the
         lineage (a lost executor recomputes from the written table, not from
@@ -47,20 +62,19 @@ class Mart:
         path = sinks.scratch_path(self.spark, f"mart-{self._run_id}", f"t{len(self._written)}")
         sinks.write_table(df, path)
         self._written.append(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @cached_property
+    def _stored(self) -> "Mart":
+        stored = Mart(self.spark, self.user_data, self.spend, self.buckets, self.as_of, self.block_ids,
+                      self.probability, self.model_path, materialize=True)
+        stored.span = self.span
+        return stored
 
     def materialized(self) -> "Mart":
         """The same mart with every model materialized once (used where many
-        models are read many times, e.g. the data tests)."""
-        if self.materialize:
-            return self
-        if not hasattr(self, "_materialized"):
-            as_of = self.as_of
-            if not isinstance(as_of, __import__("datetime").date):
-                as_of = _last_day(self.user_data, self.spend).first()[0]
-            self._materialized = Mart(self.spark, self.user_data, self.spend, self.buckets, as_of,
-                                      self.hot_threshold, materialize=True)
-        return self._materialized
+        models are read many times: the data tests, ``build``)."""
+        return self if self.materialize else self._stored
 
     @classmethod
     def from_tables(cls, spark: SparkSession, base: str, **kw) -> "Mart":
@@ -70,20 +84,30 @@ class Mart:
     # ------------------------------------------------------------ staging
     @cached_property
     def stg_spend(self):
-        return staging.stg_spend(self.spend)
+        return self._keep(staging.stg_spend(self.spend))
 
     @cached_property
     def stg_user_data(self):
-        return staging.stg_user_data(self.user_data)
+        return self._keep(staging.stg_user_data(self.user_data))
+
+    @property
+    def _users(self) -> DataFrame:
+        """The installs: the stored staging table where there is one."""
+        return self.stg_user_data if self.materialize else self.user_data
+
+    @property
+    def _lines(self) -> DataFrame:
+        """The spend lines, likewise."""
+        return self.stg_spend if self.materialize else self.spend
 
     # ------------------------------------------------- notebook KPIs (metrics)
     @cached_property
     def revenue_midpoint(self):
-        return kpis.revenue_midpoint(self.user_data, self.buckets)
+        return kpis.revenue_midpoint(self._users, self.buckets)
 
     @cached_property
     def kpi_campaign(self):
-        return kpis.kpi_campaign(self.revenue_midpoint, self.spend)
+        return kpis.kpi_campaign(self.revenue_midpoint, self._lines)
 
     @cached_property
     def forecast(self):
@@ -93,45 +117,40 @@ class Mart:
     def kpi_forecast(self):
         return kpis.kpi_forecast(self.kpi_campaign, self.forecast)
 
+    @cached_property
+    def classifier(self) -> DataFrame:
+        """The classifier's probability per campaign and what it rests on."""
+        return kpis.classifier_probability(self.kpi_forecast, path=self.model_path)
+
     @cached_property
     def campaign_metrics(self):
-        return self._keep(staging.stg_campaign_metrics(kpis.campaign_metrics(self.kpi_forecast)))
+        prob = self.classifier if self.probability == "model" else None
+        return self._keep(staging.stg_campaign_metrics(kpis.campaign_metrics(self.kpi_forecast, prob)))
 
     # --------------------------------------------------------- dimensions
-    @property
-    def _dim_source(self) -> DataFrame:
-        """The dimensions are the distinct names of the campaign metrics. Those
-        metrics have exactly one row per (platform, campaign, network) group of
-        the install rows (spend and forecast are left-joined onto it), so the
-        names are read from the install rows directly: same sets, and a scan
-        plus a distinct instead of the whole metrics plan inside every join."""
-        if self.materialize:
-            return self.campaign_metrics
-        return self._name_triples
-
     @cached_property
-    def _name_triples(self) -> DataFrame:
-        # one scan and one (partially aggregated) distinct serve all three
-        # dimensions; the identical subtree is a reused exchange in any plan
-        return self.user_data.select("platform", "campaign_name", "network_name").distinct()
+    def _names(self) -> DataFrame:
+        """The names of both inputs: a campaign that has spend but no install
+        yet keeps its rows in the daily fact."""
+        names = [df.select("platform", "campaign_name", "network_name") for df in (self._users, self._lines)]
+        return self._keep(names[0].unionByName(names[1]).distinct())
 
     @cached_property
     def dim_campaign(self):
-        return self._keep(dims.dim_campaign(self._dim_source))
+        return dims.dim_campaign(self._names)
 
     @cached_property
     def dim_network(self):
-        return self._keep(dims.dim_network(self._dim_source))
+        return dims.dim_network(self._names)
 
     @cached_property
     def dim_platform(self):
-        return self._keep(dims.dim_platform(self._dim_source))
+        return dims.dim_platform(self._names)
 
     @cached_property
     def dim_date(self):
-        days = self.spend.agg(F.min("date").alias("d")).unionByName(self.user_data.agg(F.min("install_date").alias("d")))
-        first = F.least(F.lit(dims.DATE_SPINE_START).cast("date"), days.agg(F.min("d")).scalar())
-        return self._keep(dims.dim_date(self.spark, self.as_of, first))
+        first = min(d for d in (dt.date.fromisoformat(dims.DATE_SPINE_START), self.span[0]) if d is not None)
+        return dims.dim_date(self.spark, self.as_of, first)
 
     @property
     def dims(self) -> dict:
@@ -153,8 +172,10 @@ class Mart:
 
     @cached_property
     def campaign_daily_named(self):
-        return daily.campaign_daily_named(self.spend_user_full_outer, self.dim_campaign, self.dim_network,
-                                          self.dim_platform, self.dim_date)
+        if self.materialize:  # the dimensions are stored tables: join them, as the model does
+            return daily.campaign_daily_named(self.spend_user_full_outer, self.dim_campaign, self.dim_network,
+                                              self.dim_platform, self.dim_date)
+        return daily.campaign_daily_by_name(self.spend_user_full_outer, self.dim_date)
 
     @cached_property
     def campaign_daily(self):
@@ -170,12 +191,14 @@ class Mart:
     # -------------------------------------------------------- performance
     @cached_property
     def perf_named(self):
-        return performance.perf_named(self.campaign_metrics, self.dim_campaign, self.dim_network,
-                                      self.dim_platform, self.dim_date, self.as_of)
+        if self.materialize:
+            return performance.perf_named(self.campaign_metrics, self.dim_campaign, self.dim_network,
+                                          self.dim_platform, self.dim_date, self.as_of)
+        return performance.perf_by_name(self.campaign_metrics, self.dim_date, self.as_of)
 
     @cached_property
     def perf_fact(self):
-        return self._keep(self.perf_named.select(*self.perf_named.columns[:13]))
+        return self._keep(self.perf_named.drop("platform", "campaign_name", "network_name"))
 
     @cached_property
     def perf_enriched(self):
@@ -187,13 +210,17 @@ class Mart:
 
     @cached_property
     def campaign_tiers(self):
-        return self._keep(performance.campaign_tiers(self.perf_fact))
+        return performance.campaign_tiers(self.perf_fact)
 
     @cached_property
     def campaign_summary(self):
+        return self._keep(self.summary_after(None))
+
+    def summary_after(self, previous: DataFrame | None) -> DataFrame:
+        """The summary with the growth since a previous snapshot of it."""
         perf = self.perf_fact if self.materialize else self.perf_named
-        return self._keep(performance.campaign_summary(perf, self.campaign_daily, self.dim_campaign,
-                                                       self.dim_network, self.dim_platform, self.as_of))
+        return performance.campaign_summary(perf, self.campaign_daily, self.dim_campaign, self.dim_network,
+                                            self.dim_platform, self.as_of, previous)
 
     @cached_property
     def revenue_growth(self):
@@ -201,12 +228,12 @@ class Mart:
 
     @cached_property
     def budget_plan(self):
-        return self._keep(budget.budget_plan(self.perf_enriched))
+        return budget.budget_plan(self.perf_enriched)
 
     # -------------------------------------------------------- attribution
     @cached_property
     def touchpoints(self):
-        return self._keep(attribution.touchpoints(self.stg_user_data, self.hot_threshold))
+        return attribution.touchpoints(self.stg_user_data, self.block_ids)
 
     @cached_property
     def spend_by_campaign(self):
@@ -226,9 +253,17 @@ class Mart:
         return cohorts.cohort_retention(self.stg_user_data)
 
     # -------------------------------------------------------- seasonality
+    @cached_property
+    def season_measures(self):
+        return self._keep(seasonality.measures(self.daily_enriched))
+
     @cached_property
     def seasonal(self) -> dict:
-        return seasonality.seasonality_tables(self.daily_enriched)
+        return seasonality.seasonality_tables(self.season_measures)
+
+    @cached_property
+    def seasonality_fact(self):
+        return self._keep(seasonality.seasonality_long(self.seasonal))
 
     # --------------------------------------------------------- governance
     @cached_property
@@ -238,21 +273,34 @@ class Mart:
 
     @property
     def models(self) -> dict:
-        """Model name -> table, for the column tests."""
+        """Model name -> table."""
         return {
+            "stg_spend": self.stg_spend, "stg_user_data": self.stg_user_data,
+            "stg_campaign_metrics": self.campaign_metrics, "dim_cv_bucket": self.buckets,
             "dim_campaign": self.dim_campaign, "dim_network": self.dim_network, "dim_platform": self.dim_platform,
-            "dim_date": self.dim_date, "dim_campaign_performance_tier": self.campaign_tiers,
-            "fact_campaign_performance": self.perf_fact, "fact_campaign_daily": self.campaign_daily,
+            "dim_date": self.dim_date, "fact_campaign_daily": self.campaign_daily,
+            "fact_campaign_performance": self.perf_fact, "dim_campaign_performance_tier": self.campaign_tiers,
             "fact_campaign_summary": self.campaign_summary, "fact_user_cohort_analysis": self.cohort_ltv,
             "fact_multi_touch_attribution": self.attribution_all, "fact_budget_optimization": self.budget_plan,
-            "stg_spend": self.stg_spend, "stg_user_data": self.stg_user_data,
-            "stg_campaign_metrics": self.campaign_metrics, "dim_cv_bucket": self.buckets,
+            "fact_seasonality_analysis": self.seasonality_fact,
+            **{f"fact_seasonality_{side}": table for side, table in self.seasonal.items()},
+            "governance_data_quality": self.checks["dq_scores"], "governance_data_lineage": self.lineage,
         }
 
-    @property
-    def materialized_models(self) -> dict:
-        """Models of the materialized twin (see ``materialized``)."""
-        return self.materialized().models
+    @cached_property
+    def tested(self) -> dict:
+        """What the column tests read: the models that are declared with tests and the two raw inputs."""
+        names = {*quality.NOT_NULL, *quality.UNIQUE, "stg_campaign_metrics", "dim_cv_bucket"}
+        return {n: t for n, t in self.models.items() if n in names} | {"spend": self.spend, "user_data": self.user_data}
+
+    @cached_property
+    def column_results(self) -> DataFrame:
+        return quality.column_results(self.materialized().tested)
+
+    @cached_property
+    def test_report(self) -> DataFrame:
+        """All column and aggregate tests over the stored models."""
+        return quality.test_report(self.column_results, self.materialized().checks)
 
     @cached_property
     def table_stats(self):
@@ -278,22 +326,43 @@ class Mart:
             names.append(prefix + name)
         return names
 
-    def build(self, out: str, as_of_ts=None) -> dict[str, str]:
-        """Write every model under ``out`` (Parquet; the daily fact
-        partitioned by date and clustered by its ids), with created_at /
-        updated_at set to the run timestamp (``as_of_ts``, default as_of at
-        midnight). Each write is one job; re-running overwrites (the daily
-        fact only in the partitions it contains)."""
+    def build(self, out: str, as_of_ts=None, incremental: bool = False, only: tuple[str, ...] = ()) -> dict[str, str]:
+        """Write every model (or ``only`` those named) under ``out`` as Parquet,
+        each computed once, with created_at / updated_at set to the run timestamp (``as_of_ts``, default
+        as_of at midnight).
+
+        The daily fact is partitioned by date and clustered by its ids: a full
+        build replaces it whole (days that no longer exist go), ``incremental``
+        recomputes the last REPROCESS_DAYS days and merges them. The summary
+        keeps a partition per as_of and takes its growth from the latest
+        earlier one. Quality scores are added to those of earlier runs, a run
+        of the same as_of replaces its own."""
+        m = self.materialized()
         ts = as_of_ts if as_of_ts is not None else dims.as_of_date(self.as_of).cast("timestamp")
-        written = {}
-        for name, df in self.models.items():
-            path = f"{out.rstrip('/')}/{name}"
+        day = F.date_format(dims.as_of_date(self.as_of), "yyyy-MM-dd")
+        paths = {name: f"{out.rstrip('/')}/{name}" for name in only or self.models}
+        for name, path in paths.items():
             if name == "fact_campaign_daily":
-                sinks.write_partitioned(sinks.with_audit(df, ts), path)
+                if incremental:
+                    sinks.merge_into_partitioned(self.spark, path, sinks.with_audit(m.daily_last(), ts), "campaign_daily_id")
+                else:
+                    sinks.write_partitioned(sinks.with_audit(m.campaign_daily, ts), path, replace_all=True)
+            elif name == "fact_campaign_summary":
+                rows = m.summary_after(sinks.previous_snapshot(self.spark, path, self.as_of))
+                sinks.write_snapshot(sinks.with_audit(rows, ts), path, day)
+            elif name == "governance_data_quality":
+                sinks.write_snapshot(sinks.with_audit(m.checks["dq_scores"], ts), path, day)
             else:
-                sinks.write_table(sinks.with_audit(df, ts), path)
-            written[name] = path
-        return written
+                sinks.write_table(sinks.with_audit(m.models[name], ts), path)
+        return paths
+
+    def store_failures(self, out: str, run: str, limit: int | None = None) -> str:
+        """Adds the rows that fail a column test to the failures table under
+        ``out`` (a partition per run and test)."""
+        path = f"{out.rstrip('/')}/test_failures"
+        sinks.store_failures(quality.failing_rows(self.materialized().tested, limit), path, run)
+        return path
+
 
 class _Checks:
     """Lazy mapping of check name -> one-row DataFrame."""

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import round_cols
+from ..functions.metrics import as_date
 from ..operators import attribution as attr
 from ..operators import kpis, quality, reports, seasonality, staging, incremental, daily as daily_ops
 from .mart import Mart
@@ -68,6 +69,9 @@ ROUNDING: dict[str, tuple[list[str], list[str]]] = {
     "weekly_patterns": ([], ["avg_weekly_revenue", "avg_weekly_roas"]),
     "special_periods": ([], ["avg_daily_revenue", "avg_daily_roas"]),
     "seasonality_wide_stats": (["sum_seasonal_revenue", "sum_monthly_revenue"], []),
+    "seasonality_long": (["seasonal_revenue", "seasonal_spend", "dow_avg_revenue", "monthly_revenue", "monthly_spend", "prev_month_revenue"],
+                         ["avg_seasonal_roas", "avg_seasonal_arpu", "dow_avg_roas", "dow_avg_arpu", "avg_monthly_roas", "avg_monthly_arpu",
+                          "avg_weekly_revenue", "avg_weekly_roas", "special_avg_revenue", "special_avg_roas"]),
     "high_roas_prob": (["total_revenue", "total_spend"], ["roas", "arpu", "high_roas_prob"]),
 }
 
@@ -87,7 +91,7 @@ def _cv_buckets(m: Mart) -> DataFrame:
 
 
 def _merge_upsert_daily(m: Mart) -> DataFrame:
-    stale_as_of = F.date_sub(m.as_of, STALE_DAILY_DAYS)
+    stale_as_of = F.date_sub(as_date(m.as_of), STALE_DAILY_DAYS)
     target = m.campaign_daily.filter(F.col("date") <= stale_as_of)
     return incremental.merge_daily(target, m.daily_last())
 
@@ -97,19 +101,8 @@ def _violations(m: Mart) -> DataFrame:
     return quality.store_failures(v, ["user_id", "src_id"])
 
 
-def _wide_stats(m: Mart) -> DataFrame:
-    return seasonality.seasonality_wide_stats(m.daily_enriched)
-
-
-def _column_results(m: Mart) -> DataFrame:
-    models = m.models
-    return quality.union_all([quality.test_not_null(models), quality.test_accepted_values(models),
-                              quality.test_relationships(models), quality.test_unique(models)])
-
-
 def _high_roas_prob(m: Mart) -> DataFrame:
-    kpi = m.kpi_forecast
-    return kpis.campaign_metrics(kpi, kpis.classifier_probability(kpi))
+    return kpis.campaign_metrics(m.kpi_forecast, m.classifier)
 
 
 BUILDERS: dict[str, Callable[[Mart], DataFrame]] = {
@@ -118,9 +111,9 @@ BUILDERS: dict[str, Callable[[Mart], DataFrame]] = {
     "canon_user_data": lambda m: m.user_data,
     "cv_buckets": _cv_buckets,
     "stg_spend_incremental": lambda m: staging.incremental_stg_spend(
-        m.spend, F.date_sub(m.as_of, INCREMENTAL_CUT_DAYS)),
+        m.spend, F.date_sub(as_date(m.as_of), INCREMENTAL_CUT_DAYS)),
     "stg_user_incremental": lambda m: staging.incremental_stg_user_data(
-        m.user_data, F.date_sub(m.as_of, INCREMENTAL_CUT_DAYS)),
+        m.user_data, F.date_sub(as_date(m.as_of), INCREMENTAL_CUT_DAYS)),
     "merge_upsert_daily": _merge_upsert_daily,
     "daily_last7": lambda m: m.daily_last(),
     "dq_violations": _violations,
@@ -173,7 +166,8 @@ BUILDERS: dict[str, Callable[[Mart], DataFrame]] = {
     "monthly_trends": lambda m: m.seasonal["month"],
     "weekly_patterns": lambda m: m.seasonal["week"],
     "special_periods": lambda m: m.seasonal["special"],
-    "seasonality_wide_stats": _wide_stats,
+    "seasonality_wide_stats": lambda m: seasonality.seasonality_wide_stats(m.season_measures),
+    "seasonality_long": lambda m: m.seasonality_fact,
     # governance
     "dq_campaign": lambda m: m.checks["dq_campaign"],
     "dq_spend": lambda m: m.checks["dq_spend"],
@@ -185,10 +179,10 @@ BUILDERS: dict[str, Callable[[Mart], DataFrame]] = {
     "dq_daily_partitions": lambda m: m.checks["dq_daily_partitions"],
     "dq_score_logic": lambda m: m.checks["dq_score_logic"],
     "test_unique_user_id": lambda m: quality.duplicate_keys(m.stg_user_data, "user_id"),
-    "test_not_null": lambda m: quality.test_not_null(m.models),
-    "test_accepted_values": lambda m: quality.test_accepted_values(m.models),
-    "test_relationships": lambda m: quality.test_relationships(m.models),
-    "test_report": lambda m: quality.test_report(_column_results(m), m.checks),
+    "test_not_null": lambda m: quality.test_not_null(m.materialized().tested),
+    "test_accepted_values": lambda m: quality.test_accepted_values(m.materialized().tested),
+    "test_relationships": lambda m: quality.test_relationships(m.materialized().tested),
+    "test_report": lambda m: m.test_report,
     "table_stats": lambda m: m.table_stats,
     "lineage": lambda m: m.lineage,
     # reports

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from acqspark.operators import attribution as attr
@@ -36,15 +37,31 @@ def test_touchpoint_order_breaks_ties_by_source_id(users):
     assert o == {1: (1, 3), 2: (2, 3), 3: (3, 3), 4: (1, 1), 6: (1, 2), 5: (2, 2)}
 
 
-def test_hot_device_path_matches_window(users, spark):
-    # every device with more than one row is "hot": ranked by range blocks
-    plain = _orders(attr.touchpoints(users))
-    split = _orders(attr.touchpoints(users, hot_threshold=1))
-    assert split == plain
+def test_blocks_of_any_size_give_the_same_order(users, spark):
+    # with one id per block every row is a block of its own
+    assert _orders(attr.touchpoints(users, block_ids=1)) == _orders(attr.touchpoints(users))
 
 
-def test_hot_path_on_larger_skewed_input(spark):
-    # one device holds most rows; ranks must equal the plain window ranks
+def test_rows_without_device_or_day_are_ranked(spark):
+    rows = ROWS + [(8, None, "ios", None, "c1", "n1", 1.0, None, "Opt in"), (9, None, "ios", D(2024, 1, 1), "c1", "n1", 1.0, None, "Opt in"),
+                   (10, None, "ios", None, "c1", "n1", 2.0, None, "Opt in"), (11, "a", "android", None, "c9", "n1", 1.0, None, None)]
+    got = attr.touchpoints(spark.createDataFrame(rows, SCHEMA), block_ids=2)
+    assert _orders(got) == {11: (1, 4), 1: (2, 4), 2: (3, 4), 3: (4, 4), 4: (1, 1), 6: (1, 2), 5: (2, 2), 8: (1, 3), 10: (2, 3), 9: (3, 3)}
+    assert {r["src_id"]: r["device_revenue"] for r in got.where("adid IS NULL").collect()} == {8: 4.0, 9: 4.0, 10: 4.0}
+
+
+def test_no_job_runs_while_the_plan_is_made(users, spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "attribution")
+    try:
+        attr.attribution_all(attr.touchpoints(users), spark.createDataFrame([], "platform string, campaign_name string, network_name string, total_spend double"))
+        assert list(tracker.getJobIdsForGroup("plan-only")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_order_on_skewed_input(spark):
+    # one device holds 70 % of the rows; ranks must equal the plain window ranks
     n = 5000
     df = (spark.range(n).select(
         F.col("id").alias("src_id"),
@@ -54,7 +71,9 @@ def test_hot_path_on_larger_skewed_input(spark):
         F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("campaign_name"),
         F.lit("n").alias("network_name"), F.lit(1.0).alias("revenue_usd"),
         F.lit(None).cast("int").alias("cv_bucket"), F.lit("Opt in").alias("tracking_status")))
-    assert _orders(attr.touchpoints(df, hot_threshold=100)) == _orders(attr.touchpoints(df))
+    plain = df.withColumn("touchpoint_order", F.row_number().over(Window.partitionBy("adid").orderBy(*attr.TOUCH_ORDER)))
+    plain = plain.withColumn("touchpoint_count", F.count("*").over(Window.partitionBy("adid")))
+    assert _orders(attr.touchpoints(df, block_ids=64)) == _orders(plain)
 
 
 def test_models_literal_and_normalized(users):
@@ -94,11 +113,3 @@ def test_attribution_all_equals_per_model_tables(users, spark):
     assert a["linear_roas"] == pytest.approx(a["linear_revenue"] / 100.0)
     assert allm[("ios", "c1", "n1")]["linear_roas"] == 0.0  # no spend row
 
-
-def test_sampled_hot_key_detection_counts_exactly(spark):
-    n = 20000
-    df = spark.range(n).select(
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("adid"))
-    found, _ = attr.hot_keys(df, "adid", threshold=2000)
-    hot = {r["adid"]: r["_hot_n"] for r in found.collect()}
-    assert hot == {"hot": (n + 2) // 3}  # sampled at 5 %, counted exactly

@@ -85,3 +85,23 @@ def test_calendar_reaches_back_to_the_first_input_day(spark):
     old = m.spend.limit(1).withColumn("date", F.lit(D(2023, 5, 1)))
     m = Mart(spark, m.user_data, m.spend.unionByName(old))
     assert m.dim_date.agg(F.min("date")).first()[0] == D(2023, 5, 1)
+
+
+def test_merge_of_a_row_that_changes_day(spark, tmp_path):
+    schema = "src_id bigint, date date, v double, platform_id string, network_id string, campaign_id string"
+    path = str(tmp_path / "t")
+    row = lambda i, d, v: (i, d, v, "p", "n", "c")
+    merge = lambda rows: sinks.merge_into_partitioned(spark, path, spark.createDataFrame(rows, schema), "src_id")
+    merge([row(0, D(2024, 1, 31), 1.0), row(1, D(2024, 1, 31), 2.0), row(2, D(2024, 2, 1), 3.0)])
+    untouched = sorted(p.name for p in (tmp_path / "t" / "date=2024-01-31").iterdir())
+    merge([row(2, D(2024, 2, 2), 4.0)])  # leaves its old day empty
+    assert not (tmp_path / "t" / "date=2024-02-01").exists()
+    assert sorted(p.name for p in (tmp_path / "t" / "date=2024-01-31").iterdir()) == untouched  # that day isn't rewritten
+    merge([row(0, D(2025, 1, 1), 9.0)])
+    merge([row(0, D(2025, 1, 1), 9.0)])  # again
+    got = lambda: sorted((r["src_id"], r["date"], r["v"]) for r in spark.read.parquet(path).collect())
+    want = [(0, D(2025, 1, 1), 9.0), (1, D(2024, 1, 31), 2.0), (2, D(2024, 2, 2), 4.0)]
+    assert got() == want
+    sinks.compact_locator(spark, path, "src_id")
+    merge([row(0, D(2024, 1, 31), 1.0)])
+    assert got() == [(0, D(2024, 1, 31), 1.0), *want[1:]]

@@ -35,7 +35,7 @@ def test_rank_within_equals_sorting(spark, data, threshold):
     recs = [(i, k, dt.date(2024, 1, 1) + dt.timedelta(days=d), c) for i, (k, d, c) in enumerate(data)]
     df = spark.createDataFrame(recs, "src_id long, adid string, install_date date, campaign_name string")
     got = {r["src_id"]: (r["touchpoint_order"], r["touchpoint_count"])
-           for r in attr.rank_within(df, "adid", attr.TOUCH_ORDER, hot_threshold=threshold).collect()}
+           for r in attr.rank_within(df, "adid", attr.TOUCH_ORDER, block_ids=threshold).collect()}
     p = pd.DataFrame(recs, columns=["src_id", "adid", "install_date", "campaign_name"])
     p = p.sort_values(["adid", "install_date", "campaign_name", "src_id"])
     p["o"] = p.groupby("adid").cumcount() + 1

@@ -37,3 +37,19 @@ def test_column_tests_and_report(spark):
     assert rep["test_referential_integrity"]["failures"] == 3
     assert rep["test_referential_integrity"]["status"] == "fail"
     assert models  # the spec names the models it tests
+
+
+def test_all_declared_tests_are_registered():
+    counts = (sum(map(len, quality.NOT_NULL.values())), len(quality.ACCEPTED), len(quality.RELATIONSHIPS), len(quality.UNIQUE))
+    assert counts == (137, 22, 23, 14) and sum(counts) == 196
+
+
+def test_relationships_and_keys_are_counted_by_row(spark, monkeypatch):
+    monkeypatch.setattr(quality, "RELATIONSHIPS", [("child", "x", "parent", "y"), ("child", "z", "parent", "y")])
+    monkeypatch.setattr(quality, "UNIQUE", {"child": "x", "parent": "y"})
+    models = {"child": spark.createDataFrame([(1, 7), (1, 2), (3, None), (None, 2), (None, 2)], "x int, z int"),
+              "parent": spark.createDataFrame([(2,), (3,)], "y int")}
+    got = {(r["model"], r["column_name"]): r["failures"] for r in quality.test_relationships(models).collect()}
+    assert got == {("child", "x"): 2, ("child", "z"): 1}
+    got = {(r["model"], r["column_name"]): r["failures"] for r in quality.test_unique(models).collect()}
+    assert got == {("child", "x"): 2, ("parent", "y"): 0}  # 1 and NULL
