@@ -13,6 +13,7 @@ import base64
 import gzip
 import hashlib
 import urllib.parse
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -77,12 +78,27 @@ class ArcWriter:
 
 
 def http_parts(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
-    """Head, its fields by lower-case name, and payload of an HTTP response."""
-    end = block.index(b"\r\n\r\n") + 4
+    """Head, its fields by lower-case name, and payload of an HTTP response. A
+    record of another protocol has no head, all of it is payload."""
+    end = block.find(b"\r\n\r\n") + 4
+    if not block.startswith(b"HTTP/") or end < 4:
+        return b"", {}, block
     fields = dict(line.split(":", 1) for line in block[:end].decode("latin-1").split("\r\n")[1:] if ":" in line)
     return block[:end], {k.strip().lower(): v.strip() for k, v in fields.items()}, block[end:]
 
 
+def warc_date(archive_date: str) -> str:
+    """An ARC date (14 digits; older files have fewer) as a WARC date. What is
+    missing or impossible becomes the start of the span that is known."""
+    digits = re.match(r"\d{0,14}", archive_date.strip())[0]
+    for n in (n for n in (14, 12, 10, 8, 6, 4) if n <= len(digits)):
+        try:
+            return datetime.strptime(digits[:n] + "00000101000000"[n:], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+        except ValueError:
+            continue
+    return "1970-01-01T00:00:00Z"
+
+
 def read_arc(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and content of each record behind the version block."""
     with gzip.GzipFile(fileobj=open_read(path)) as f:
@@ -190,20 +206,21 @@ def convert_file(path: str, verdicts: dict[int, tuple[bool, int | None]], folder
             page_id, digest = _page_id(http), base32_sha1(payload)
             revisit, refers_to = verdicts[nth]
             block = head if revisit else content
-            date = datetime.strptime(fields["Archive-date"], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+            date = warc_date(fields["Archive-date"])
             headers = [("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", date), ("WARC-Target-URI", fields["URL"]), ("WARC-IP-Address", fields["IP-address"]),
-                       ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Type", "application/http; msgtype=response")]
+                       ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Type", "application/http; msgtype=response" if head else fields["Content-type"])]
             if revisit:
                 headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest))]
                 headers += [("X-Refers-To-Page-Id", str(refers_to))] if refers_to is not None else []
-            out.write(warc_record("revisit" if revisit else "response", headers, block))
+            out.write(warc_record("revisit" if revisit else "response" if head else "resource", headers, block))
             records += 1
     return made, records
 
 
 def convert(verdicts: DataFrame, folder: str) -> DataFrame:
     """Converts each ARC file (its at most ARC_RECORDS verdicts come together
-    in one group); the paths of the WARC files."""
+    in one group); the paths of the WARC files. The count of partitions is
+    given, as adaptive execution would merge these few small rows into one task."""
     schema = pa.schema([("path", pa.string()), ("records", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -211,7 +228,8 @@ def convert(verdicts: DataFrame, folder: str) -> DataFrame:
         path, n = convert_file(table["path"][0].as_py(), by, folder)
         return pa.table([[path], [n]], schema=schema)
 
-    return staged(verdicts.groupBy("path").applyInArrow(run, "path string, records long"), "warc-files")
+    n = int(verdicts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(verdicts.repartition(n, "path").groupBy("path").applyInArrow(run, "path string, records long"), "warc-files")
 
 
 def read_warc(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -242,13 +260,14 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
                 for fields, block in read_warc(path):
                     if fields["warc-type"] == "warcinfo":
                         continue
-                    _, http, payload = http_parts(block)
+                    kind = fields["warc-type"]
+                    _, http, payload = (b"", {}, block) if kind == "resource" else http_parts(block)
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                    if fields["warc-block-digest"] != f"sha1:{base32_sha1(block)}" or (fields["warc-type"] == "response" and digest != base32_sha1(payload)):
+                    if fields["warc-block-digest"] != f"sha1:{base32_sha1(block)}" or (kind != "revisit" and digest != base32_sha1(payload)):
                         raise ValueError(f"{path}: a digest is wrong")
-                    size = len(payload) if fields["warc-type"] == "response" else int(http["content-length"])
+                    size = len(payload) if kind != "revisit" else int(http.get("content-length", 0))
                     refers = fields.get("x-refers-to-page-id")
-                    rows.append((_page_id(http), size, digest, fields["warc-type"], int(refers) if refers else None, fields["warc-record-id"], fields["warc-target-uri"], fields["warc-date"]))
+                    rows.append((_page_id(http), size, digest, kind, int(refers) if refers else None, fields["warc-record-id"], fields["warc-target-uri"], fields["warc-date"]))
                 if rows:
                     yield batch(schema, *map(list, zip(*rows)))
 

@@ -2,8 +2,10 @@
 
 Each document's rules are computed from its whole text. Rule failures are
 summed by host; a host's rate is shrunk by a beta prior that is fitted to all
-hosts (empirical Bayes); hosts whose shrunk rate of any rule is too high are
-rejected, and the verdicts are joined back to the documents."""
+hosts (empirical Bayes), and the verdicts are joined back to the documents. A
+document that fails one of SOFT_RULES itself goes, unless its host is clearly
+better than the prior at that rule (there it counts as the odd one out); all
+documents of a host go if its shrunk rate of any rule is above HOST_LIMIT."""
 
 from __future__ import annotations
 
@@ -17,6 +19,10 @@ from .spans import BYTES, SPACE, hash_ranges, lines, mix, owner, shingles, words
 
 #: A host is rejected if a shrunk failure rate is above this.
 HOST_LIMIT = 0.8
+#: Rules whose failure a host's verdict may forgive, and how far below the prior's
+#: mean its shrunk rate must lie for that.
+SOFT_RULES = ("symbols", "dup_lines", "word_length")
+HOST_BETTER = 0.9
 #: The signs counted as symbols: # * $ % & | < >
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -94,42 +100,53 @@ def rules() -> dict[str, Column]:
     }
 
 
-def beta_prior(hosts: DataFrame, rule: str) -> tuple[float, float]:
-    """alpha and beta by the method of moments for a beta-binomial: the mean is
-    the overall rate, the strength comes from the spread between hosts."""
-    t = hosts.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(rule).alias("f"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn")).first()
+def beta_priors(hosts: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
+    """alpha and beta of each rule by the method of moments for a beta-binomial:
+    the mean is the overall rate, the strength comes from the spread between
+    hosts. One aggregate over the hosts' sums gives all of them."""
+    n = F.col("n").cast("double")
+    t = hosts.agg(F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(n * n).alias("nn"), *[F.sum(r).alias(f"{r}_f") for r in names],
+                  *[F.sum(F.col(r) / n * F.col(r)).alias(f"{r}_ff") for r in names]).first()
     if not t.n:
-        return 1.0, 1.0
-    p = min(max(t.f / t.n, 1e-9), 1 - 1e-9)
-    spread = hosts.agg(F.sum(F.col("n") * (F.col(rule) / F.col("n") - p) * (F.col(rule) / F.col("n") - p)).alias("s")).first().s
-    room = t.n - t.nn / t.n - (t.k - 1)
-    rho = (spread / (p * (1 - p)) - (t.k - 1)) / room if room > 0 else 0.5
-    rho = min(max(rho, 1e-6), 0.999)
-    return p * (1 / rho - 1), (1 - p) * (1 / rho - 1)
+        return dict.fromkeys(names, (1.0, 1.0))
+    out = {}
+    for r in names:
+        p = min(max(t[f"{r}_f"] / t.n, 1e-9), 1 - 1e-9)
+        spread = max(t[f"{r}_ff"] - 2 * p * t[f"{r}_f"] + p * p * t.n, 0.0)
+        room = t.n - t.nn / t.n - (t.k - 1)
+        rho = (spread / (p * (1 - p)) - (t.k - 1)) / room if room > 0 else 0.5
+        rho = min(max(rho, 1e-6), 0.999)
+        out[r] = p * (1 / rho - 1), (1 - p) * (1 / rho - 1)
+    return out
 
 
 def host_verdicts(feats: DataFrame) -> DataFrame:
-    """host, n, a shrunk rate per rule, host_ok; one row per non-null host."""
+    """host, n, a shrunk rate per rule, host_ok, and per soft rule whether the
+    host is clearly better than the prior; one row per non-null host."""
     checks = rules()
     hosts = staged(feats.where(F.col("host").isNotNull()).groupBy("host")
                    .agg(F.count("*").alias("n"), *[F.sum(c.cast("long")).alias(r) for r, c in checks.items()]), "hosts")
-    out = hosts
-    for r in checks:
-        a, b = beta_prior(hosts, r)
-        out = out.withColumn(f"{r}_rate", (F.col(r) + F.lit(a)) / (F.col("n") + F.lit(a + b)))
-    worst = F.greatest(*[F.col(f"{r}_rate") for r in checks])
-    return out.select("host", "n", *[f"{r}_rate" for r in checks], (worst <= HOST_LIMIT).alias("host_ok"))
+    priors = beta_priors(hosts, list(checks))
+    rate = {r: (F.col(r) + F.lit(a)) / (F.col("n") + F.lit(a + b)) for r, (a, b) in priors.items()}
+    better = [(rate[r] < HOST_BETTER * priors[r][0] / sum(priors[r])).alias(f"{r}_better") for r in SOFT_RULES]
+    return hosts.select("host", "n", *[x.alias(f"{r}_rate") for r, x in rate.items()], (F.greatest(*rate.values()) <= HOST_LIMIT).alias("host_ok"), *better)
 
 
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The features, base_failed and kept of every row, and host_rejected.
+    """The features, base_failed and kept of every row, host_rejected and
+    own_failed (a soft rule that the host's verdict doesn't forgive).
 
     docs: doc_id, text and the host column (further columns are ignored). One
     row comes out per row. Null and empty texts have no words and fail; rows
     with a null host are judged by their own rules alone; repeated rows count
     as often as they come; an empty table gives an empty result."""
     feats = staged(features(docs, host), "quality-features")
-    verdicts = staged(host_verdicts(feats).select("host", "host_ok"), "host-verdicts")
+    verdicts = staged(host_verdicts(feats).select("host", "host_ok", *[f"{r}_better" for r in SOFT_RULES]), "host-verdicts")
+    checks = rules()
+    own = F.lit(False)
+    for r in SOFT_RULES:
+        own = own | (checks[r] & ~F.coalesce(f"{r}_better", F.lit(False)))
+    rejected = ~F.coalesce("host_ok", F.lit(True))
     return (feats.join(verdicts, "host", "left")
-            .select("doc_id", *FEATURES[:5], base_failed().alias("base_failed"),
-                    (~base_failed() & F.coalesce("host_ok", F.lit(True))).alias("kept"), (~F.coalesce("host_ok", F.lit(True))).alias("host_rejected")))
+            .select("doc_id", *FEATURES[:5], base_failed().alias("base_failed"), (~base_failed() & ~rejected & ~own).alias("kept"),
+                    rejected.alias("host_rejected"), own.alias("own_failed")))

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, new_folder, pieces, staged
-from .filesystem import create, open_read
+from .common import batch, new_folder, pieces
+from .filesystem import create, open_read, resolve
 from .spanmemo import LibraryEncoder, worker_encoder
 
 MAGIC = b"LLMIDS1\n"
@@ -57,6 +57,9 @@ def id_width(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+MANIFEST = "part int, path string, n_docs long, n_tokens long, first_id long, last_id long"
+
+
 def _zdict(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
@@ -81,14 +84,43 @@ def write_file(folder: str, stem: str, docs: Iterator[tuple[int | None, np.ndarr
     return path, len(index), total
 
 
+def dictionary_path(folder: str, digest: bytes) -> str:
+    """The dictionary's file beside the id files, named by its hash."""
+    return f"{folder.rstrip('/')}/{digest.hex()}.zdict"
+
+
+def store_dictionary(folder: str, raw_dict: bytes) -> None:
+    system, root = resolve(folder)
+    system.create_dir(root, recursive=True)
+    with system.open_output_stream(dictionary_path(root, hashlib.sha256(raw_dict).digest()), compression=None) as out:
+        out.write(raw_dict)
+
+
+def load_dictionary(folder: str, digest: bytes) -> bytes:
+    """The stored dictionary of that hash; an error if it's missing or another."""
+    system, root = resolve(folder)
+    with system.open_input_stream(dictionary_path(root, digest), compression=None) as f:
+        raw = f.read()
+    if hashlib.sha256(raw).digest() != digest:
+        raise ValueError(f"{folder}: the dictionary {digest.hex()} is damaged")
+    return raw
+
+
 class IdFile:
-    """Random access to a token-id file."""
+    """Random access to a token-id file; without `raw_dict` the dictionary is
+    read from the file's folder."""
 
-    def __init__(self, path: str, raw_dict: bytes):
+    def __init__(self, path: str, raw_dict: bytes | None = None):
         self.file = open_read(path)
         size = self.file.size()
+        if size < FOOTER.size:
+            raise ValueError(f"{path}: not a token-id file")
         digest, width, at, n, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
-        if magic != MAGIC or digest != hashlib.sha256(raw_dict).digest():
+        if magic != MAGIC:
+            raise ValueError(f"{path}: not a token-id file")
+        if raw_dict is None:
+            raw_dict = load_dictionary(path.rsplit("/", 1)[0], digest)
+        if digest != hashlib.sha256(raw_dict).digest():
             raise ValueError(f"{path}: not a token-id file of this dictionary")
         self.width = f"<u{width}"
         self.index = np.frombuffer(self.file.read_at(n * INDEX.itemsize, at), INDEX)
@@ -101,6 +133,12 @@ class IdFile:
     def doc_id(self, k: int) -> int | None:
         return int(self.index[k]["doc_id"]) if self.index[k]["has_id"] else None
 
+    def find(self, doc_id: int) -> range:
+        """The places of a document; rows without an id stand before all others."""
+        nulls = int(len(self) - np.count_nonzero(self.index["has_id"]))
+        known = self.index["doc_id"][nulls:]
+        return range(nulls + int(np.searchsorted(known, doc_id, "left")), nulls + int(np.searchsorted(known, doc_id, "right")))
+
     def ids(self, k: int) -> np.ndarray:
         row = self.index[k]
         blob = self.file.read_at(int(row["bytes"]), int(row["offset"]))
@@ -111,15 +149,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     """Encodes every whole text, appends end_id, and writes the ids to files
     in ascending order of doc_id (nulls first; equal ids by hash of the text):
     one file per range of ids. Gives the manifest (part, path, n_docs,
-    n_tokens), part in order of the ids, and the dictionary.
+    n_tokens, first and last id), part in order of the ids, and the dictionary;
+    both are stored in the folder too.
 
     docs: doc_id, text (further columns are ignored). Null and empty texts have
     the end id alone; repeated rows are written as often as they come; no rows
     give no files."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     raw_dict = train_dictionary(docs, tokenizer_path)
+    store_dictionary(folder, raw_dict)
     shared = docs.sparkSession.sparkContext.broadcast(raw_dict)
-    schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
 
     def write(batches):
         from pyspark import TaskContext
@@ -127,6 +167,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         encoder = worker_encoder(tokenizer_path, False)
         width = id_width(max(encoder.tok.get_vocab_size(), end_id + 1))
 
+        span = [None, None]  # of the ids that are not null
+
         def encoded():
             end = np.array([end_id], np.uint32)
             for b in batches:
@@ -134,18 +176,31 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
                     ids, counts = encoder.encode(data, off)
                     stops = np.cumsum(counts)
                     for doc_id, stop, n in zip(b.column("doc_id")[lo:hi].to_pylist(), stops.tolist(), counts.tolist()):
+                        if doc_id is not None:
+                            span[:] = [doc_id if span[0] is None else span[0], doc_id]
                         yield doc_id, np.concatenate([ids[stop - n:stop], end])
 
         part = TaskContext.get().partitionId()
         path, n_docs, n_tokens = write_file(folder, f"part-{part:06d}", encoded(), shared.value, width)
         if n_docs:
-            yield batch(schema, [part], [path], [n_docs], [n_tokens])
+            yield batch(schema, [part], [path], [n_docs], [n_tokens], [span[0]], [span[1]])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     ordered = docs.withColumn("_tie", tie).repartitionByRange(n, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
-    manifest = ordered.mapInArrow(write, "part int, path string, n_docs long, n_tokens long")
-    return staged(manifest, "ids-manifest"), raw_dict
+    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest"), raw_dict
+
+
+def document_ids(spark: SparkSession, folder: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of one document (of each of its rows) from a folder of token-id
+    files; any session can read them, the files hold all that is needed."""
+    files = spark.read.schema(MANIFEST).parquet(f"{folder.rstrip('/')}/manifest").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    out = []
+    for row in files.orderBy("part").select("path").collect():  # one file, two at an edge, more for an id of very many rows
+        file = IdFile(row["path"])
+        out += [file.ids(k) for k in file.find(doc_id)]
+    return out
 
 
 def read_token_files(manifest: DataFrame, raw_dict: bytes) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, list_array, pieces, staged
+from .common import batch, free_name, list_array, pieces, staged
 from .spans import BYTES, SPACE, hash_ranges, hash_runs, lines
 
 #: A block is deleted if it has so many words; a shorter line is no evidence.
@@ -255,11 +255,12 @@ def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     the earlier side. A text may become empty. An empty table stays empty."""
     mark = F.xxhash64("text")
     gone = deletions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark")), block_words)
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"), F.col("gone").alias("_gone"))
+    whose, which, lost = (free_name(docs, c) for c in ("_gone_id", "_gone_mark", "_gone"))
+    gone = gone.select(F.col("doc_id").alias(whose), F.col("mark").alias(which), F.col("gone").alias(lost))
     split = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
-    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_gone_id")) & (mark == F.col("_gone_mark")), "left")
+    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(lost, i.cast("long"))), "\n")
+    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col(whose)) & (mark == F.col(which)), "left")
     return (joined.withColumn("lines_before", F.coalesce(F.size(split), F.lit(0)).cast("long"))
-            .withColumn("lines_deleted", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-            .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-            .drop("_gone_id", "_gone_mark", "_gone"))
+            .withColumn("lines_deleted", F.coalesce(F.size(lost), F.lit(0)).cast("long"))
+            .withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(left))
+            .drop(whose, which, lost))

@@ -33,9 +33,13 @@ h AS (SELECT host, rule, count(*)::DOUBLE AS n, sum(bad::INT)::DOUBLE AS x FROM
 t AS (SELECT rule, count(*) AS k, sum(n) AS n, sum(n * n) AS nn, least(greatest(sum(x) / sum(n), 1e-9), 1 - 1e-9) AS p FROM h GROUP BY rule),
 s AS (SELECT t.*, (SELECT sum(h.n * (h.x / h.n - p) * (h.x / h.n - p)) FROM h WHERE h.rule = t.rule) AS spread FROM t),
 q AS (SELECT rule, p, least(greatest(CASE WHEN n - nn / n - (k - 1) > 0 THEN (spread / (p * (1 - p)) - (k - 1)) / (n - nn / n - (k - 1)) ELSE 0.5 END, 1e-6), 0.999) AS rho FROM s),
-v AS (SELECT host, max((x + p * (1 / rho - 1)) / (h.n + 1 / rho - 1)) <= 0.8 AS ok FROM h JOIN q USING (rule) GROUP BY host)
+v AS (SELECT host, max(rate) <= 0.8 AS ok, bool_or(rule = 2 AND rate < 0.9 * p) AS symbols, bool_or(rule = 3 AND rate < 0.9 * p) AS dup_lines,
+             bool_or(rule = 4 AND rate < 0.9 * p) AS word_length
+      FROM (SELECT host, rule, p, (x + p * (1 / rho - 1)) / (h.n + 1 / rho - 1) AS rate FROM h JOIN q USING (rule)) GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(ok, true) AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(ok, true) AND NOT (10 * n_symbols > n_words AND NOT coalesce(symbols, false))
+       AND NOT (2 * n_dup_lines > n_lines AND NOT coalesce(dup_lines, false))
+       AND NOT ((word_chars > 12 * n_words OR word_chars < 2 * n_words) AND NOT coalesce(word_length, false)) AS kept
 FROM f LEFT JOIN v USING (host)
 """
 

@@ -37,7 +37,7 @@ def op3_token_counts(spark, sf_dir):
 
 
 def op4_quality_rules(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents")).drop("host_rejected")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("host_rejected", "own_failed")
 
 
 def op5_token_files(spark, sf_dir):
