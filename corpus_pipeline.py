@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acqspark.llm.common import staged
+from acqspark.llm.common import free_name, staged
 from acqspark.llm.op10_decontamination import contaminated
 from acqspark.llm.op4_quality_rules import quality_rules
 from acqspark.llm.op6_minhash import near_duplicates
@@ -21,15 +21,17 @@ from acqspark.llm.op8_line_dedup import line_dedup
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id isn't in `ids`; rows without an id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    name = free_name(docs, "_id")
+    return docs.join(ids.select(F.col("doc_id").alias(name)), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail their own rules or stand on a rejected host go. An
     id goes with any of its rows; rows without an id are judged as one."""
     verdicts = quality_rules(docs).groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept")
-    verdicts = verdicts.select(F.col("doc_id").alias("_id"))
-    return docs.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    name = free_name(docs, "_id")
+    verdicts = verdicts.select(F.col("doc_id").alias(name))
+    return docs.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
