@@ -77,13 +77,56 @@ def test_language_id(docs, empty):
     assert language_id(empty).count() == 0
 
 
+def test_phrase_counts_equal_a_naive_parse():
+    from acqspark.llm.op1_language_id import CrossParser
+
+    r = random.Random(4)
+    make = lambda alphabet, n: " ".join("".join(r.choice(alphabet) for _ in range(r.randint(1, 6))) for _ in range(n))
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    sample = [("a", make("abcde", 40)) for _ in range(30)] + [("b", make("cdefgé", 40)) for _ in range(30)] + [("c", make(han, 40)) for _ in range(120)]
+    parser = CrossParser(sample)
+    learned = {x: " ".join(" ".join(t.split()) for y, t in sample if y == x) for x in "abc"}
+    texts = ["", "  ", "a", "Abc de, CDE!", "xyz", make("abcdefg", 3000), make("abcde", 200), sample[3][1] * 30, make(han, 700) + " abc", "e" * 1000, "zq" * 700]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    phrases, _, _ = parser.parse(np.frombuffer(b"".join(raw), np.uint8), off)
+    for k, lang in enumerate("abc"):
+        for i, t in enumerate(texts):
+            s = "".join(c.lower() if c.isalpha() else " " for c in t)
+            s = re.sub(" +", " ", s).lstrip(" ")
+            n = at = 0
+            while at < len(s):
+                to = at + 1
+                while to < len(s) and s[at:to + 1] in learned[lang]:
+                    to += 1
+                n, at = n + 1, to
+            assert phrases[k, i] == n, (lang, i)
+    import pickle
+    assert len(pickle.dumps(parser)) < 20 << 20
+
+
+def test_language_is_found_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id: r.lang for r in docs.collect() if r.text and len(r.text) > 40}
+    got = [(r.lang_pred, want[r.doc_id]) for r in language_id(docs).collect() if r.held_out and want.get(r.doc_id)]
+    assert len(got) > 100 and np.mean([a == b for a, b in got]) >= 0.99
+
+
+def test_equal_languages_go_by_name_and_too_many_are_an_error(spark):
+    schema = "doc_id long, text string, lang string"
+    rows = [(i, f"same words here {i // 2}", "ab"[i % 2]) for i in range(40)]
+    assert {r.lang_pred for r in language_id(spark.createDataFrame(rows, schema)).collect()} == {"a"}
+    with pytest.raises(ValueError):
+        language_id(spark.createDataFrame([(i, f"word {chr(97 + i % 26)}", f"l{i}") for i in range(600)], schema)).collect()
+
+
 def test_training_sample_takes_copies_once_and_no_order_of_text(spark):
     r = random.Random(8)
     texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) + " more words" for _ in range(600)]
     texts += ["aaa the same start " * 30 + str(i) for i in range(300)]  # these begin alike and sort first
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
     sample = [t for _, t in training_sample(docs)]
-    assert len(sample) == len(set(sample)) == SAMPLE_ROWS and sum(t.startswith("aaa the") for t in sample) <= 1
+    assert len(sample) == len(set(sample)) == SAMPLE_ROWS and sum(t.startswith("aaa the") for t in sample) <= 1  # their windows are equal
     assert sample != sorted(sample) and sum(t < "n" for t in sample[:60]) < 50
     assert sample == [t for _, t in training_sample(docs.repartition(5).unionByName(docs))]
 
