@@ -75,3 +75,38 @@ def lineage(spark: SparkSession, stats: DataFrame) -> DataFrame:
                     classification.alias("data_classification"),
                     _by_layer(LAYER_RETENTION, "N/A").alias("retention_policy"),
                     refresh.alias("refresh_frequency"))
+
+
+# What each model is made of.
+_DIMS = ("dim_campaign", "dim_network", "dim_platform")
+MODEL_INPUTS = {
+    "stg_spend": ("spend",), "stg_user_data": ("user_data",), "dim_cv_bucket": (),
+    "stg_campaign_metrics": ("stg_user_data", "stg_spend", "dim_cv_bucket"),
+    **{d: ("stg_user_data", "stg_spend") for d in _DIMS},
+    "dim_date": ("user_data", "spend"),
+    "fact_campaign_daily": ("stg_spend", "stg_user_data", *_DIMS, "dim_date"),
+    "fact_campaign_performance": ("stg_campaign_metrics", *_DIMS, "dim_date"),
+    "dim_campaign_performance_tier": ("fact_campaign_performance",),
+    "fact_campaign_summary": ("fact_campaign_performance", "fact_campaign_daily", *_DIMS),
+    "fact_user_cohort_analysis": ("stg_user_data",),
+    "fact_multi_touch_attribution": ("stg_user_data", "stg_spend"),
+    "fact_budget_optimization": ("fact_campaign_performance", *_DIMS),
+    **{f"fact_seasonality_{side}": ("fact_campaign_daily", *_DIMS, "dim_date") for side in ("seasonal", "dow", "month", "week", "special")},
+    "fact_seasonality_analysis": tuple(f"fact_seasonality_{side}" for side in ("seasonal", "dow", "month", "week", "special")),
+    "governance_data_quality": ("fact_campaign_performance", "stg_spend", "stg_user_data", *_DIMS),
+    "governance_data_lineage": ("fact_campaign_performance", "fact_campaign_daily", "stg_spend", "stg_user_data"),
+}
+
+
+def edges(spark: SparkSession) -> DataFrame:
+    """(model_name, reads): a row for every model that a model reads."""
+    return spark.createDataFrame([(m, r) for m, reads in MODEL_INPUTS.items() for r in reads], "model_name string, reads string")
+
+
+def stored_facts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """table_name, row_count and last_updated of written tables: the latest
+    modification time among a table's files. A table without rows has neither
+    files' rows nor a time."""
+    parts = [spark.read.parquet(path).agg(F.count("*").alias("row_count"), F.max("_metadata.file_modification_time").alias("last_updated"))
+             .select(F.lit(name).alias("table_name"), "row_count", "last_updated") for name, path in paths.items()]
+    return reduce(DataFrame.unionByName, parts)

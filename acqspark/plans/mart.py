@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import TableSet, canon_user_data, canon_spend, cv_bucket_table
-from ..sources import sinks
+from ..sources import seeds, sinks
 from ..operators import (staging, dims, daily, kpis, performance, budget, attribution, cohorts, seasonality,
                          quality, lineage, reports, incremental)
 
@@ -81,6 +81,15 @@ class Mart:
         t = TableSet(spark, base)
         return cls(spark, canon_user_data(t["events"]), canon_spend(t["orders"]), **kw)
 
+    @classmethod
+    def from_csv(cls, spark: SparkSession, folder: str, out: str, **kw) -> "Mart":
+        """A mart over ``spend.csv``, ``user_data.csv`` and ``dim_cv_bucket.csv`` of a
+        folder, loaded into tables under ``out``; lines that can't be loaded
+        stand in ``out``/quarantine."""
+        loaded = {kind: seeds.load_csv(spark, kind, f"{folder.rstrip('/')}/{kind}.csv", f"{out.rstrip('/')}/{kind}", f"{out.rstrip('/')}/quarantine")
+                  for kind in ("spend", "user_data", "dim_cv_bucket")}
+        return cls(spark, loaded["user_data"], loaded["spend"], loaded["dim_cv_bucket"].drop("src_id"), **kw)
+
     # ------------------------------------------------------------ staging
     @cached_property
     def stg_spend(self):
@@ -352,8 +361,12 @@ class Mart:
                 sinks.write_snapshot(sinks.with_audit(rows, ts), path, day)
             elif name == "governance_data_quality":
                 sinks.write_snapshot(sinks.with_audit(m.checks["dq_scores"], ts), path, day)
-            else:
+            elif name != "governance_data_lineage":
                 sinks.write_table(sinks.with_audit(m.models[name], ts), path)
+        if "governance_data_lineage" in paths:  # last: it reports what has been written
+            facts = lineage.stored_facts(self.spark, {n: p for n, p in paths.items() if n != "governance_data_lineage"})
+            sinks.write_table(sinks.with_audit(lineage.lineage(self.spark, facts), ts), paths["governance_data_lineage"])
+            sinks.write_table(lineage.edges(self.spark), f"{out.rstrip('/')}/governance_lineage_edges")
         return paths
 
     def store_failures(self, out: str, run: str, limit: int | None = None) -> str:

@@ -2,11 +2,10 @@
 
 from .tables import read_table, TableSet
 from .canonical import canon_user_data, canon_spend, CANON_CTES
-from .seeds import read_spend_csv, read_user_data_csv, read_cv_bucket_csv, read_campaign_analysis_csv
+from .seeds import SEEDS, load_csv, read_csv
 from .buckets import cv_bucket_table
 
 __all__ = [
     "read_table", "TableSet", "canon_user_data", "canon_spend", "CANON_CTES",
-    "read_spend_csv", "read_user_data_csv", "read_cv_bucket_csv",
-    "read_campaign_analysis_csv", "cv_bucket_table",
+    "SEEDS", "load_csv", "read_csv", "cv_bucket_table",
 ]

@@ -30,6 +30,13 @@ def test_materialized_mode_equals_lazy(mart):
 def test_build_writes_every_model_with_audit_columns(mart, spark, tmp_path):
     out = mart.build(str(tmp_path / "mart"))
     assert set(out) == set(mart.models)
+    from acqspark.operators import lineage
+    assert set(lineage.MODEL_INPUTS) == set(mart.models)  # an edge for every model that a model reads
+    facts = {r["model_name"]: r for r in spark.read.parquet(out["governance_data_lineage"]).collect()}
+    assert facts["fact_campaign_daily"]["row_count"] == mart.campaign_daily.count()
+    assert facts["stg_spend"]["last_updated"] is not None and str(facts["stg_spend"]["last_updated"])[:10] != lineage.LAST_UPDATED
+    edges = {tuple(r) for r in spark.read.parquet(str(tmp_path / "mart" / "governance_lineage_edges")).collect()}
+    assert ("fact_campaign_summary", "fact_campaign_daily") in edges
     daily = spark.read.parquet(out["fact_campaign_daily"])
     assert daily.count() == mart.campaign_daily.count()
     assert {"created_at", "updated_at"} <= set(daily.columns)
