@@ -26,9 +26,18 @@ def quantile_bins(df: DataFrame, column: str, bits: int = BITS) -> Column:
     return F.coalesce(bins, F.lit(0))
 
 
-def hash_bins(column: str, bits: int = BITS) -> Column:
-    """Bin of a category: equal values share a bin; null is in bin 0."""
-    return F.when(F.col(column).isNull(), 0).otherwise(F.pmod(F.xxhash64(column), F.lit(1 << bits))).cast("int")
+def category_bins(df: DataFrame, column: str, bits: int = BITS) -> Column:
+    """Bin of a category by the place of its value among the sorted distinct
+    values (each has its own where there are no more than bins), so that
+    neighbours on the axis are neighbours in order; null is in bin 0. The least
+    value of each bin, 2^bits at most, is all that the driver gets."""
+    parts = 1 << bits
+    values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
+    places = ordered_positions(values, ["value"]).select(F.expr(f"position * {parts} div total").cast("int").alias("bin"), "value")
+    out = F.lit(0)
+    for r in sorted(places.groupBy("bin").agg(F.min("value").alias("least")).collect(), key=lambda r: r.bin):
+        out = F.when(F.col(column) >= F.lit(r.least), r.bin).otherwise(out)
+    return out.cast("int")
 
 
 def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
@@ -88,15 +97,17 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     docs: doc_id, text, lang, source (further columns are ignored). Gives
     doc_id, size, text_crc32, curve, shard and slot (0, 1, ... within the
-    shard). Null texts have size 1 and the checksum of the empty text; null
+    shard). Equal texts are one group with one cell, that of the least lang and
+    the least source among them. Null texts have size 1 and the checksum of the empty text; null
     dimensions fall into bin 0; ties on the curve go by checksum, size and id,
-    so that equal texts of one cell are neighbours and a crowded cell is still
-    cut; repeated rows are dealt out as rows; fewer rows than shards leave
+    so that equal texts are neighbours and a crowded cell is still cut; repeated rows are dealt out as rows; fewer rows than shards leave
     shards empty."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"), "lang", "source")
-    axes = [quantile_bins(rows, "size"), hash_bins("lang"), hash_bins("source")]
+                       F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"), "lang", "source")
+    groups = rows.groupBy("_text", "size").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
+    axes = [quantile_bins(rows, "size"), category_bins(rows, "lang"), category_bins(rows, "source")]
+    rows = rows.drop("lang", "source").join(groups, ["_text", "size"])
     cells = rows.select("doc_id", "size", "text_crc32", hilbert_index(axes).alias("curve"))
     at = ordered_positions(cells, ["curve", "text_crc32", "size", "doc_id"])
     shard = F.expr(f"position * {shards} div total")

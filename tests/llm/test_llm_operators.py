@@ -431,6 +431,35 @@ def test_hilbert_neighbours(spark):
     assert all(abs(x.a - y.a) + abs(x.b - y.b) + abs(x.c - y.c) == 1 for x, y in zip(rows, rows[1:]))
 
 
+def test_hilbert_groups_pruning_and_files(spark, tmp_path):
+    from acqspark.llm.op9_hilbert_sharding import BITS, category_bins, write_shards
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = hilbert_shards(docs)
+    rows = {r.doc_id: r for r in out.collect()}
+    meta = {r.doc_id: r for r in docs.collect()}
+    groups = {}
+    for i, m in meta.items():
+        groups.setdefault(m.text or "", []).append(rows[i])
+    firsts = {s: min(r.curve for r in rows.values() if r.shard == s) for s in range(16)}
+    for same in groups.values():
+        assert len({r.curve for r in same}) == 1
+        spread = {r.shard for r in same}  # in two shards only where a cut runs through the group
+        assert max(spread) - min(spread) == len(spread) - 1 and all(firsts[s] == same[0].curve for s in sorted(spread)[1:])
+    # a plain version of the cells
+    order = sorted({m.source for m in meta.values() if m.source is not None})
+    bins = {r.source: r.b for r in docs.select("source", category_bins(docs, "source").alias("b")).distinct().collect()}
+    assert [bins[x] for x in order] == [k * (1 << BITS) // len(order) for k in range(len(order))] and len(set(bins.values())) == len(order)
+    # shards that a reader of one source and one half of the sizes has to open
+    half = sorted(r.size for r in rows.values())[len(rows) // 2]
+    opened = [len({rows[i].shard for i, m in meta.items() if m.source == x and (rows[i].size > half) == big}) for x in order for big in (False, True)]
+    assert np.mean(opened) < 8
+    write_shards(out, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((r.doc_id, r.shard, r.slot) for r in back.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in rows.values())
+    assert len(list((tmp_path / "s").glob("shard=*"))) == 16
+
+
 def test_contaminated(spark, docs, empty):
     texts = dict(_rows(docs))
     whole = WORD.findall(texts[9])
