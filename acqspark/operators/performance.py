@@ -41,12 +41,13 @@ def perf_named(metrics: DataFrame, dim_campaign: DataFrame, dim_network: DataFra
                     "platform", "campaign_name", "network_name")
 
 
-def perf_by_name(metrics: DataFrame, dim_date: DataFrame, as_of) -> DataFrame:
+def perf_by_name(metrics: DataFrame, as_of, calendar_start) -> DataFrame:
     """The same rows where every name of the metrics has its dimension row (the
-    mart builds the dimensions from both inputs): the ids are functions of the names."""
-    today = dim_date.select(F.col("date").alias("_as_of"), "date_id")
-    j = metrics.withColumn("_as_of", as_of_date(as_of)).join(today, "_as_of")
-    j = j.where("campaign_name IS NOT NULL AND network_name IS NOT NULL AND platform IS NOT NULL")
+    mart builds the dimensions from both inputs): the ids, of the day too, are
+    functions of the names and the day. Empty where as_of lies before the calendar."""
+    today = as_of_date(as_of)
+    named = metrics.where("campaign_name IS NOT NULL AND network_name IS NOT NULL AND platform IS NOT NULL")
+    j = named.where(today >= F.lit(calendar_start).cast("date")).withColumn("date_id", surrogate_key(today))
     j = j.withColumns({f"{d}_id": surrogate_key(name) for d, name in (("campaign", "campaign_name"), ("network", "network_name"), ("platform", "platform"))})
     key = surrogate_key("campaign_id", "network_id", "platform_id", money_key("total_revenue"), "total_users")
     return j.select(key.alias("campaign_performance_id"), *IDS, "date_id", *PERF_METRICS, "platform", "campaign_name", "network_name")

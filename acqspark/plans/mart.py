@@ -50,6 +50,11 @@ class Mart:
         """"Today": given, or the last day of both inputs."""
         return self._as_of if self._as_of is not None else self.span[1]
 
+    @property
+    def calendar_start(self) -> dt.date:
+        """The calendar's fixed start, or the first input day where that is earlier."""
+        return min(d for d in (dt.date.fromisoformat(dims.DATE_SPINE_START), self.span[0]) if d is not None)
+
     def _keep(self, df: DataFrame) -> DataFrame:
         """In materialize mode each model that costs an exchange of the inputs is
         computed once (those that only project a stored one are not), written as a
@@ -158,8 +163,7 @@ class Mart:
 
     @cached_property
     def dim_date(self):
-        first = min(d for d in (dt.date.fromisoformat(dims.DATE_SPINE_START), self.span[0]) if d is not None)
-        return dims.dim_date(self.spark, self.as_of, first)
+        return dims.dim_date(self.spark, self.as_of, self.calendar_start)
 
     @property
     def dims(self) -> dict:
@@ -203,7 +207,7 @@ class Mart:
         if self.materialize:
             return performance.perf_named(self.campaign_metrics, self.dim_campaign, self.dim_network,
                                           self.dim_platform, self.dim_date, self.as_of)
-        return performance.perf_by_name(self.campaign_metrics, self.dim_date, self.as_of)
+        return performance.perf_by_name(self.campaign_metrics, self.as_of, self.calendar_start)
 
     @cached_property
     def perf_fact(self):
