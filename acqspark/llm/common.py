@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass works on.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
