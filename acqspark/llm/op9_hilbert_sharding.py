@@ -105,7 +105,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"), "lang", "source")
-    groups = rows.groupBy("_text", "size").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
+    # written, so that a group of very many rows can be split where the rows are joined with it
+    groups = staged(rows.groupBy("_text", "size").agg(F.min("lang").alias("lang"), F.min("source").alias("source")), "groups")
     axes = [quantile_bins(rows, "size"), category_bins(rows, "lang"), category_bins(rows, "source")]
     rows = rows.drop("lang", "source").join(groups, ["_text", "size"])
     cells = rows.select("doc_id", "size", "text_crc32", hilbert_index(axes).alias("curve"))
