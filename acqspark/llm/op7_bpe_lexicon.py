@@ -8,6 +8,7 @@ it lacks. Which words are in the lexicon changes the speed, never an id."""
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,13 @@ class Encoder:
         return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(lexicon_path: str, tokenizer_path: str) -> Encoder:
+    """The encoder of this Python worker: its memo serves the next tasks too,
+    and a worker never holds a second one beside it."""
+    return Encoder(lexicon_path, tokenizer_path)
+
+
 def bpe_codec(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
     """Encodes every whole text and decodes the ids again: n_tokens and the
     SHA-256 of the ids (little-endian unsigned 32 bits) and of the decoded
@@ -112,7 +120,7 @@ def bpe_codec(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> D
     schema = pa.schema(fields)
 
     def run(batches):
-        encoder = Encoder(lexicon, tokenizer_path)
+        encoder = worker_encoder(lexicon, tokenizer_path)
         for b in batches:
             for lo, hi, data, off in pieces(b.column("text")):
                 ids, counts = encoder.encode(data, off)
