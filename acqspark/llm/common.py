@@ -3,6 +3,8 @@ tables, and Arrow batches cut into pieces of bounded size."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,15 +63,27 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
+def release_memory() -> None:
+    """Gives memory that this Python worker no longer uses back to the system:
+    workers outlive their tasks, and the executor's other tasks need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets): runs of whole texts of
-    up to `limit` bytes together; a longer text makes a piece of its own."""
+    up to `limit` bytes together; a longer text makes a piece of its own.
+    Memory is given back after the last one."""
     raw, off = text_buffers(texts)
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
         yield lo, hi, raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         lo = hi
+    release_memory()
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

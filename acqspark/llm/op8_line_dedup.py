@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, free_name, list_array, pieces, staged
+from .common import batch, free_name, list_array, pieces, release_memory, staged
 from .spans import BYTES, SPACE, hash_ranges, hash_runs, lines
 
 #: A block is deleted if it has so many words; a shorter line is no evidence.
 BLOCK_WORDS = 10
 #: Lines whose runs are worked out at a time; a document with more is one piece.
-PIECE_LINES = 1 << 20
+PIECE_LINES = 1 << 18
+#: Pairs of documents turned into Python lists at once.
+ALIGNED_ROWS = 512
 
 
 def line_arrays(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -201,6 +203,7 @@ def _run_keys(texts: DataFrame, block_words: int) -> DataFrame:
                 of = pa.array(row[start])
                 yield batch(schema, b.column("doc_id").take(of), b.column("mark").take(of), hash_runs(h[part].view(np.uint64), start, end).view(np.int64))
                 lo = hi
+        release_memory()
 
     flat = texts.select("doc.doc_id", "doc.mark", F.col("lines.nth").cast("array<long>").alias("nth"), F.col("lines.hash").alias("hash"), F.col("lines.words").alias("words"))
     return flat.mapInArrow(keys, "doc_id long, mark long, key long").select(F.struct("doc_id", "mark").alias("doc"), "key")
@@ -229,7 +232,7 @@ def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("gone", pa.list_(pa.int64()))])
 
     def align(batches):
-        for b in batches:
+        for b in (whole.slice(lo, ALIGNED_ROWS) for whole in batches for lo in range(0, whole.num_rows, ALIGNED_ROWS)):
             keep, gone = [], []
             rows = zip(*[b.column(c).to_pylist() for c in ("an", "ah", "dn", "dh", "dw", "dl")])
             for k, (an, ah, dn, dh, dw, dl) in enumerate(rows):
@@ -239,6 +242,7 @@ def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                     gone.append([number[i] for i in found])
             if keep:
                 yield batch(schema, b.column("doc_id").take(keep), b.column("mark").take(keep), gone)
+        release_memory()
 
     found = aligned.mapInArrow(align, "doc_id long, mark long, gone array<long>")
     return staged(found.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "deletions")
